@@ -200,26 +200,13 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _PLAIN = re.compile(r" ?[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 
 
-class Encoder:
-    """Encodes texts with a file of the tokenizers library, each distinct chunk once.
-
-    Distinct chunks that are one word are joined to long strings for a few calls of the library; where each ends is
-    seen from its tokens (words end in ``</w>`` or begin with a blank). All others are encoded one by one. A memo of
-    bounded size keeps chunks from batch to batch.
-    """
+class Chunks:
+    """Encodes texts chunk by chunk, each distinct chunk once; a memo of bounded size keeps chunks from batch to batch."""
 
     MEMO = 400_000
+    lower = False
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab(with_added_tokens=False)
-        self.words = any(x.endswith("</w>") for x in vocab)
-        self.edge = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
-        for x, i in vocab.items():
-            self.edge[i] = x.endswith("</w>") if self.words else x.startswith("Ġ")
+    def __init__(self):
         self.forget()
 
     def forget(self) -> None:
@@ -230,32 +217,7 @@ class Encoder:
 
     def _fresh(self, chunks: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """(order in which the chunks come, their ids one after another, how many each has)."""
-        plain, odd = [], []
-        match, blank = _PLAIN.fullmatch, self.words
-        for i, x in enumerate(chunks):
-            (plain if len(x) < 64 and match(x) and (blank or x[0] == " ") else odd).append(i)
-        flats, sizes, order = [], [], []
-        sep = " " if self.words else ""
-        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for at in range(0, len(groups), 64):
-            part = groups[at : at + 64]
-            for group, found in zip(part, self.tok.encode_batch_fast([sep.join([chunks[i] for i in g]) for g in part], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, np.uint32)
-                where = np.flatnonzero(self.edge[ids])
-                if len(where) != len(group):
-                    odd.extend(group)
-                    continue
-                flats.append(ids)
-                sizes.append(np.diff(where, prepend=-1) if self.words else np.diff(where, append=len(ids)))
-                order.extend(group)
-        for at in range(0, len(odd), 4096):
-            part = odd[at : at + 4096]
-            found = [x.ids for x in self.tok.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)]
-            flats.append(np.array([y for x in found for y in x], np.uint32))
-            sizes.append(np.array([len(x) for x in found], np.int64))
-            order.extend(part)
-        none = [np.zeros(0, np.int64)]
-        return order, np.concatenate([np.zeros(0, np.uint32), *flats]), np.concatenate(none + sizes)
+        raise NotImplementedError
 
     def distinct(self, chunks: pa.Array) -> np.ndarray:
         """The places in the memo of the distinct ``chunks``."""
@@ -285,7 +247,7 @@ class Encoder:
     def chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(the place in the memo of each chunk, where each text's chunks begin)."""
         data, offsets = raw(texts)
-        if self.words and b"<|" not in data.tobytes():  # special strings are told apart by case
+        if self.lower and b"<|" not in data.tobytes():  # special strings are told apart by case
             data = _LOWER[data]
         at = cuts(data, offsets)
         words = strings(data, np.append(at, len(data))).dictionary_encode()
@@ -303,6 +265,55 @@ class Encoder:
         return spread(places, self.flat, self.begin, docs)
 
 
+class Encoder(Chunks):
+    """Encodes with a file of the tokenizers library.
+
+    Distinct chunks that are one word are joined to long strings for a few calls of the library; where each ends is
+    seen from its tokens (words end in ``</w>`` or begin with a blank). All others are encoded one by one.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.lower = self.words = any(x.endswith("</w>") for x in vocab)
+        self.edge = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
+        for x, i in vocab.items():
+            self.edge[i] = x.endswith("</w>") if self.words else x.startswith("Ġ")
+
+    def _fresh(self, chunks: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order in which the chunks come, their ids one after another, how many each has)."""
+        plain, odd = [], []
+        match, blank = _PLAIN.fullmatch, self.words
+        for i, x in enumerate(chunks):
+            (plain if len(x) < 64 and match(x) and (blank or x[0] == " ") else odd).append(i)
+        flats, sizes, order = [], [], []
+        sep = " " if self.words else ""
+        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
+            for group, found in zip(part, self.tok.encode_batch_fast([sep.join([chunks[i] for i in g]) for g in part], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, np.uint32)
+                where = np.flatnonzero(self.edge[ids])
+                if len(where) != len(group):
+                    odd.extend(group)
+                    continue
+                flats.append(ids)
+                sizes.append(np.diff(where, prepend=-1) if self.words else np.diff(where, append=len(ids)))
+                order.extend(group)
+        for at in range(0, len(odd), 4096):
+            part = odd[at : at + 4096]
+            found = [x.ids for x in self.tok.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)]
+            flats.append(np.array([y for x in found for y in x], np.uint32))
+            sizes.append(np.array([len(x) for x in found], np.int64))
+            order.extend(part)
+        none = [np.zeros(0, np.int64)]
+        return order, np.concatenate([np.zeros(0, np.uint32), *flats]), np.concatenate(none + sizes)
+
+
 def spread(places: np.ndarray, flat: np.ndarray, begin: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Write out the stretch of ``flat`` at each place; ``docs`` holds where each text's places begin."""
     start = begin[places]

@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op2_best_fit_packing import op2_best_fit_packing
+from .op4_token_files import op4_token_files
+from .op7_byte_bpe import op7_byte_bpe
 from .op9_token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_token_files": op4_token_files,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_token_counts": op9_token_counts,
 }
 
