@@ -92,7 +92,9 @@ def in_order(docs: DataFrame, *, ahead: bool = False) -> tuple[DataFrame, int]:
     at = _shard_of(bounds)
     rows = docs.withColumn("shard", at)
     if ahead:
-        first = F.col("doc_id").isin([*bounds, got["low"]]) if got["low"] is not None else F.lit(False)
+        first = F.col("doc_id").isNull()
+        if got["low"] is not None:
+            first = first | F.col("doc_id").isin([*bounds, got["low"]])
         if total == 1:
             before = F.lit(0)
         else:
