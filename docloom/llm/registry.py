@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op10_quality_rules as quality
+from .op10_quality_rules import op10_quality_rules
 from .op2_best_fit_packing import op2_best_fit_packing
 from .op3_near_dedup import op3_near_dedup
 from .op4_token_files import op4_token_files
@@ -24,6 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_feistel_sharding": op8_feistel_sharding,
     "op9_token_counts": op9_token_counts,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_quality_rules": quality.ORACLE,
+}
