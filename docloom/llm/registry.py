@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op10_quality_rules as quality
+from .op1_lm_scoring import op1_lm_scoring
 from .op10_quality_rules import op10_quality_rules
 from .op2_best_fit_packing import op2_best_fit_packing
 from .op3_near_dedup import op3_near_dedup
@@ -18,6 +19,7 @@ from .op8_sharding import op8_feistel_sharding
 from .op9_token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_near_dedup": op3_near_dedup,
     "op4_token_files": op4_token_files,
