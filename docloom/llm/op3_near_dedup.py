@@ -5,10 +5,14 @@
    average, the inverse of the threshold), and a class goes on to the child named by the place and its minwise token
    there. Classes that share much stay together on some path, others part quickly. Paths of two levels are computed
    without communication; only nodes that are still large branch on, two levels a round.
-3. Within each node, every class is compared with the smallest one: as many pairs as members, however large the node.
-   Pairs whose signatures agree enough are verified on the full sets, and components are formed.
-4. Nodes that still hold more than one component are compared exhaustively across components: small nodes at once,
-   what stays large at the last level in blocks. Verified links join the components for good.
+3. Within each node, every class is compared with the smallest one, in large nodes with ``STARS`` of them: as many
+   pairs as members, however large the node. Pairs whose sketches (256 minima of a byte) agree enough are verified on
+   the full sets, and components are formed.
+4. Nodes that still hold more than one component are compared exhaustively across components: small nodes at once;
+   large ones branch on first, and what stays large at the last level is compared in blocks, those outside the node's
+   main component against all. By their sketches, each class names its most alike partner elsewhere, if there is one.
+   These pairs are verified first; classes that named a partner and are still apart are then compared exhaustively
+   with each other on their full sets, again in blocks. Rows grow with the members of nodes, never with their pairs.
 
 A pair of similarity 0.8 meets in a tree of two levels with probability about 0.73, so ten trees miss it with
 probability about 2e-6. All intermediate tables are files in the shared folder.
@@ -26,9 +30,11 @@ from . import common, similar
 WIDTH, PERCENT = 4, 80
 TREES = 10
 SMALL = 64
-ROUNDS = 4
-#: Least share of equal minwise tokens for a pair to be verified; a pair of similarity 0.8 falls short once in 10^5 or rarer.
-SKETCH = 38 / 64
+STARS = 4
+ROUNDS = 2
+FINE = 256
+#: Least share of equal minima for a pair to be verified; one of similarity 0.8 falls short (four deviations) once in 30,000.
+SKETCH = 0.70
 
 
 def branch(path: np.ndarray, sig: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -48,17 +54,22 @@ def _signature(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, similar.PERMUTATIONS)
 
 
+def _sketch(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint8).reshape(-1, FINE)
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, node (name of its shingle set, null if empty), sig."""
+    """Per row: doc_id, n_shingles, node (name of its shingle set, null if empty), sig (for branching), fine (for comparing)."""
 
     def run(batches):
         for batch in common.text_slices(batches):
             hashes, begin = similar.shingles(batch.column(1), width)
             found = similar.sets(hashes, begin)
-            sig = similar.signatures(hashes, begin)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([similar.set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "n_shingles", "node", "sig"])
+            minima = similar.signatures(hashes, begin, FINE)
+            sig, fine = minima[:, : similar.PERMUTATIONS], minima.astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([similar.set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], names=["doc_id", "n_shingles", "node", "sig", "fine"])
 
-    return common.id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary")
+    return common.id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary, fine binary")
 
 
 def _rooted(trees: int, percent: int):
@@ -88,77 +99,134 @@ def _deeper(percent: int):
 def _alike(batches):
     """Keep (a, b) whose signatures agree enough."""
     for batch in batches:
-        keep = pa.array((_signature(batch.column(2)) == _signature(batch.column(3))).mean(axis=1) >= SKETCH, pa.bool_())
+        keep = pa.array((_sketch(batch.column(2).to_pylist()) == _sketch(batch.column(3).to_pylist())).mean(axis=1) >= SKETCH, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def _sides(group: list[dict]) -> tuple[list[dict], list[dict], np.ndarray]:
+    """The two sides of a block (all members on both, if it is a whole node), and the likeness of each pair, 0 within a component."""
+    left, right = [x for x in group if x["side"] != 2], [x for x in group if x["side"] != 1]
+    p, q = _sketch([x["fine"] for x in left]), _sketch([x["fine"] for x in right])
+    like = np.stack([(q == row).mean(axis=1) for row in p]) if left and right else np.zeros((len(left), len(right)))
+    r, s = (np.array([x["root"] for x in side], np.int64) for side in (left, right))
+    return left, right, np.where((like >= SKETCH) & (r[:, None] != s[None, :]), like, 0)
+
+
 def _across(batches):
-    """Pairs of each small group, across components, whose signatures agree enough: bounded lists in, few pairs out."""
+    """For each member of a block with an alike partner in another component: the most alike one."""
     for batch in batches:
-        a, b = [], []
-        for group in batch.column(0).to_pylist():
-            left = [x for x in group if x["side"] != 2]
-            right = [x for x in group if x["side"] != 1]
-            p, q = (np.frombuffer(b"".join(x["sig"] for x in s), np.uint32).reshape(-1, similar.PERMUTATIONS) for s in (left, right))
-            for x, row in zip(left, p, strict=True):
-                for j in np.flatnonzero((q == row).mean(axis=1) >= SKETCH).tolist():
-                    y = right[j]
-                    if x["root"] != y["root"]:
-                        a.append(min(x["node"], y["node"]))
-                        b.append(max(x["node"], y["node"]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _grouped(members: DataFrame) -> DataFrame:
-    """Members of nodes with more than one class, with the node's size and smallest class."""
-    least = members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+        rows = []
+        for main, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            left, right, like = _sides(group)
+            for side, others, table in ((left, right, like), (right, left, like.T)):
+                for x, row in zip(side, table, strict=True):
+                    if len(row) and (j := int(row.argmax())) >= 0 and row[j] > 0:
+                        rows.append((x["node"], others[j]["node"], float(row[j]), main))
+                if group[0]["side"] == 0:
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["node", "partner", "like", "main"])
+
+
+def _exactly(percent: int):
+    """Links of a block on full sets: for each left member one to each other component at most."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for group in batch.column(0).to_pylist():
+                left, right, like = _sides(group)
+                for x, row in zip(left, like, strict=True):
+                    done = set()
+                    for j in np.argsort(-row, kind="stable").tolist():
+                        if row[j] <= 0:
+                            break
+                        y = right[j]
+                        if y["root"] not in done and similar.linked(np.frombuffer(x["items"], np.uint64), np.frombuffer(y["items"], np.uint64), percent):
+                            done.add(y["root"])
+                            a.append(min(x["node"], y["node"]))
+                            b.append(max(x["node"], y["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _blocks(members: DataFrame, key: str, small: int) -> DataFrame:
+    """Members of each ``key`` (with ``minor``) dealt to blocks of about ``small`` minor members by as many of all: (key, i, j, ..., side)."""
+    sizes = members.groupBy(key).agg(F.ceil(F.count_if("minor") / small).alias("mb"), F.ceil(F.count("*") / small).alias("nb"))
+    rows = members.join(sizes, key)
+    block = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    anyone = rows.withColumn("j", block % F.col("nb")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1))).withColumn("side", F.lit(2))
+    outside = rows.where("minor").withColumn("i", block % F.col("mb")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("side", F.lit(1))
+    return anyone.unionByName(outside)
+
+
+def _grouped(members: DataFrame, small: int) -> DataFrame:
+    """Members of nodes with more than one class, with the node's size and its pivots."""
+    orders = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(1, STARS)]
+    least = members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.array(*orders).alias("others")).where("n > 1")
+    least = least.select("path", "n", F.when(F.col("n") > small, F.array_distinct(F.concat(F.array("first"), "others"))).otherwise(F.array("first")).alias("pivots"))
     return members.join(least, "path")
 
 
+def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the nodes that hold more than one component, with ``root``, the node's ``size`` and ``main`` component."""
+    named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = named.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.first(F.when(F.col("node") == F.col("pivots")[0], F.col("root")), True).alias("main"))
+    return named.join(mixed.where("low <> high").drop("low", "high"), "path")
+
+
 def links(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links (a, b) between ``classes`` (node, rep, sig) that span the components."""
-    sigs = classes.select("node", "sig")
-    level = common.materialize(_grouped(sigs.mapInArrow(_rooted(trees, percent), "path long, node long").distinct()), "paths")
-    groups = [level]
+    """Verified links (a, b) between ``classes`` (node, rep, sig, fine) that span the components."""
+    sigs, fine = classes.select("node", "sig"), classes.select("node", "fine")
+
+    def stars(members: DataFrame) -> DataFrame:
+        """Links of each member to the pivots of its node."""
+        pairs = members.select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        both = pairs.join(fine.select(F.col("node").alias("a"), F.col("fine").alias("x")), "a").join(fine.select(F.col("node").alias("b"), F.col("fine").alias("y")), "b").select("a", "b", "x", "y")
+        return similar.jaccard_links(common.materialize(both.mapInArrow(_alike, "a long, b long"), "pairs"), classes, docs, width, percent)
+
+    level = common.materialize(_grouped(sigs.mapInArrow(_rooted(trees, percent), "path long, node long").distinct(), small), "paths")
+    found = stars(level)
+    roots = similar.components(found)
+    level = common.materialize(_named(level, roots), "mixed")
+    leaves = [level.where(F.col("n") <= small)]
+    level = level.where(F.col("n") > small)
     for _ in range(rounds):
-        large = level.where(F.col("n") > small)
-        if large.isEmpty():
+        if level.isEmpty():
             break
-        level = common.materialize(_grouped(large.select("path", "node").join(sigs, "node").select("path", "node", "sig").mapInArrow(_deeper(percent), "path long, node long").distinct()), "paths")
-        groups.append(level)
-    every = groups[0]
-    for g in groups[1:]:
-        every = every.unionByName(g)
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
-
-    starred = every.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = similar.jaccard_links(common.materialize(alike(starred), "pairs"), classes, docs, width, percent)
+        deeper = level.select("path", "node").join(sigs, "node").select("path", "node", "sig").mapInArrow(_deeper(percent), "path long, node long").distinct()
+        level = common.materialize(_grouped(deeper, small), "paths")
+        found = common.materialize(found.union(stars(level)), "links")
+        roots = similar.components(found)
+        level = common.materialize(_named(level, roots), "mixed")
+        leaves.append(level.where(F.col("n") <= small))
+        level = level.where(F.col("n") > small)
 
     # what is left: nodes that hold several components, small ones and those that stayed large to the end
-    roots = similar.components(first)
-    last = groups[-1].withColumn("last", F.lit(True))
-    rest = last
-    for g in groups[:-1]:
-        rest = rest.unionByName(g.where(F.col("n") <= small).withColumn("last", F.lit(False)))
-    named = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pivots = named.where("node = pivot").select("path", F.col("root").alias("main"))
-    mixed = named.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").drop("low", "high")
-    left = named.select("path", "node", "root").join(mixed, "path").join(pivots, "path").join(sigs, "node")
-    left = common.materialize(left.withColumn("minor", F.col("root") != F.col("main")), "mixed")
-    member = F.struct("node", "root", "sig", "side")
-    near = left.where(F.col("size") <= small).withColumn("side", F.lit(0)).groupBy("path").agg(F.collect_list(member).alias("group"))
-    # large: those outside the main component meet all others, block by block
-    big = left.where(F.col("size") > small)
-    minors = big.groupBy("path").agg(F.ceil(F.sum(F.col("minor").cast("long")) / small).alias("mb"), F.ceil(F.count("*") / small).alias("nb"))
-    block = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-    big = big.join(minors, "path")
-    anyone = big.withColumn("j", block % F.col("nb")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1))).withColumn("side", F.lit(2))
-    outside = big.where("minor").withColumn("i", block % F.col("mb")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("side", F.lit(1))
-    blocks = anyone.unionByName(outside).groupBy("path", "i", "j").agg(F.collect_list(member).alias("group"))
-    pairs = near.select("group").union(blocks.select("group")).mapInArrow(_across, "a long, b long").distinct()
-    return first.union(similar.jaccard_links(common.materialize(pairs, "pairs"), classes, docs, width, percent))
+    member = F.collect_list(F.struct("node", "root", "fine", "side")).alias("group")
+    rest = leaves[0].select("path", "node", "pivots")
+    for x in leaves[1:]:
+        rest = rest.unionByName(x.select("path", "node", "pivots"))
+    near = _named(rest, roots).join(fine, "node").withColumn("side", F.lit(0)).groupBy("path").agg(F.first("main").alias("main"), member)
+    big = _blocks(level.withColumn("minor", F.col("root") != F.col("main")).select("path", "node", "root", "main", "minor"), "path", small)
+    blocked = big.join(fine, "node").groupBy("path", "i", "j").agg(F.first("main").alias("main"), member)
+    named = near.select("main", "group").union(blocked.select("main", "group")).mapInArrow(_across, "node long, partner long, like double, main long")
+    named = common.materialize(named.groupBy("node", "main").agg(F.max_by("partner", F.struct("like", "partner")).alias("partner")), "partners")
+    pairs = named.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
+    found = common.materialize(found.union(similar.jaccard_links(common.materialize(pairs, "pairs"), classes, docs, width, percent)), "links")
+
+    # classes that named a partner and are still apart, on their full sets
+    roots = similar.components(found)
+    apart = named.select("node", "main").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    centre = roots.select(F.col("node").alias("main"), F.col("root").alias("centre"))
+    apart = apart.join(centre, "main", "left").select(F.coalesce("centre", "main").alias("main"), "node", "root").distinct()
+    mixed = apart.groupBy("main").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("main")
+    apart = common.materialize(apart.join(mixed, "main", "left_semi").withColumn("minor", F.col("root") != F.col("main")), "apart")
+    if apart.isEmpty():
+        return found
+    items = similar.full_sets(apart.select("node").distinct(), classes, docs, width)
+    blocks = _blocks(apart, "main", small).join(fine, "node").join(items, "node").groupBy("main", "i", "j").agg(F.collect_list(F.struct("node", "root", "fine", "items", "side")).alias("group"))
+    return found.union(common.materialize(blocks.select("group").mapInArrow(_exactly(percent), "a long, b long"), "links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
@@ -170,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """
     common.ready(docs.sparkSession)
     profile = common.materialize(profiles(docs, width), "profiles")
-    classes = common.materialize(profile.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = common.materialize(profile.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("fine").alias("fine")), "classes")
     roots = similar.components(links(classes, docs, width, percent, trees))
     named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -182,3 +250,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The documents that are kept, with all their columns: of each group the one with the smallest id.
+
+    An id goes if all its rows do, so repeated rows stay together; rows without id stay. The ids to drop are sent to
+    all executors up to ``similar.BROADCAST_IDS`` of them, else joined by a shuffle.
+    """
+    gone = near_duplicates(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("__gone"))
+    gone = common.materialize(gone, "gone")
+    if gone.count() <= similar.BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -136,14 +136,9 @@ def signatures(hashes: np.ndarray, begin: np.ndarray, many: int = PERMUTATIONS,
 # ---------------------------------------------------------------- exact check and components
 
 
-def jaccard_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of distinct ``pairs`` (a, b), those whose full shingle sets have ``100 * shared >= percent * union``.
-
-    ``nodes`` maps each node to a document (``rep``) with that set. Only texts of documents in pairs are looked at; a set
-    moves once to each of its pairs, and Spark can split the pairs of a node that has many.
-    """
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = common.materialize(needed.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, items) for distinct ``nodes``: their shingle sets, from the texts of the documents (``rep``) that ``classes`` names."""
+    wanted = common.materialize(nodes.join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
@@ -153,18 +148,31 @@ def jaccard_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: in
             yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "items"])
 
     items = common.id_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(make, "node long, items binary").dropDuplicates(["node"])
-    items = common.materialize(items, "sets")
+    return common.materialize(items, "sets")
+
+
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have ``100 * shared >= percent * union``."""
+    whole = len(_union(p, q))
+    return 100 * (len(p) + len(q) - whole) >= percent * whole
+
+
+def jaccard_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of distinct ``pairs`` (a, b), those whose full shingle sets are alike enough.
+
+    Only texts of documents in pairs are looked at; a set moves once to each of its pairs, and Spark can split the pairs
+    of a node that has many.
+    """
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    items = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), classes, docs, width)
     both = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
 
     def check(batches):
         for batch in batches:
             for part in common.text_slices(iter([batch]), "x", 8 << 20):
                 x, y = part.column(2), part.column(3)
-                keep = []
-                for i in range(part.num_rows):
-                    p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                    shared = len(p) + len(q) - len(_union(p, q))
-                    keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
+                keep = [linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(part.num_rows)]
                 chosen = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(chosen), part.column(1).filter(chosen)], names=["a", "b"])
 
