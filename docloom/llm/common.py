@@ -205,7 +205,7 @@ _PLAIN = re.compile(r" ?[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 class Chunks:
     """Encodes texts chunk by chunk, each distinct chunk once; a memo of bounded size keeps chunks from batch to batch."""
 
-    MEMO = 400_000
+    MEMO = 250_000
     lower = False
 
     def __init__(self):
@@ -337,6 +337,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Free what this worker holds for encoding, and give unused memory back, before work that needs none of it."""
+    for x in _ENCODERS.values():
+        x.forget()
+    pa.default_memory_pool().release_unused()
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file on this machine; looked up where it is used, as each worker has its own."""
     if os.path.isabs(name):
