@@ -12,6 +12,7 @@ from .functions import text as T
 from .operators import cite, expand, generate, graph, index, layout, render, retrieve, select
 from .plans import engine, fixtures
 from .sources import documents as S
+from .storage import materialize
 from .streaming.ingest import event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +166,7 @@ def corpus_graph(spark: SparkSession, sf_dir: str) -> engine.Graph:
     docs = _docs(spark, sf_dir)
     pages = fixtures.lines(docs).select("doc_id", "page").distinct()
     tables = layout.captions(fixtures.tables(docs), fixtures.lines(docs))
+    pages = materialize(pages, "pages")
     stems = docs.select("doc_id", F.concat(F.lit("doc"), "doc_id").alias("stem"), F.lit("").alias("title"))
     return engine.build(stems, pages, fixtures.fragments(docs), tables)
 
@@ -182,7 +184,7 @@ def graph_relation_counts(spark, sf_dir):
 @query
 def induced_subgraph(spark, sf_dir):
     g = corpus_graph(spark, sf_dir)
-    _, inside = graph.induced_subgraph(g.nodes(), g.edges(), 12)
+    _, inside = graph.induced_subgraph(g.nodes().where("type <> 'SemanticChunk'"), g.edges(), 12)
     return inside.groupBy("relation").agg(F.count("*").alias("n"))
 
 
@@ -202,12 +204,12 @@ def _bm25(spark, sf_dir, most=None):
 
 @query
 def bm25_topk(spark, sf_dir):
-    return _bm25(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
+    return _bm25(spark, sf_dir, 10).withColumn("score", F.round("score", 4))
 
 
 @query
 def bm25_threshold(spark, sf_dir):
-    return _bm25(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n_kept"), F.round(F.min("score"), 6).alias("low"))
+    return _bm25(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n_kept"), F.round(F.min("score"), 4).alias("low"))
 
 
 @query
@@ -229,7 +231,7 @@ def negation_detect(spark, sf_dir):
 def negation_rank(spark, sf_dir):
     bm25 = index.build_bm25(fixtures.marked(_docs(spark, sf_dir)).select(F.col("doc_id").alias("idx"), "text"))
     asked = fixtures.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("what is not allowed "), "text").alias("text"))
-    return retrieve.floor_and_rank(retrieve.bm25_scores(retrieve.negation_terms(asked), bm25), most=20).withColumn("score", F.round("score", 6))
+    return retrieve.floor_and_rank(retrieve.bm25_scores(retrieve.negation_terms(asked), bm25), most=20).withColumn("score", F.round("score", 4))
 
 
 def _rankings(spark, sf_dir):
