@@ -65,7 +65,7 @@ def dense_topk(queries: DataFrame, index: DataFrame, most: int) -> DataFrame:
         if len(ids) == each:
             held.append((ids, _unit(np.array(vectors, np.float64))))
             ids, vectors = [], []
-    held.append((ids, _unit(np.array(vectors, np.float64).reshape(len(ids), -1))))
+    held.append((ids, _unit(np.array(vectors, np.float64).reshape(len(ids), dim))))
     out = None
     for names, matrix in held:
         part = _nearest(index, names, matrix, most)

@@ -82,7 +82,7 @@ def html_lines(pages: DataFrame) -> DataFrame:
             rows = []
             for doc, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for k, (tag, inner) in enumerate(_BLOCK.findall(source or "")):
-                    text = " ".join(html.unescape(_TAG.sub(" ", inner)).split())
+                    text = " ".join(html.unescape(_TAG.sub("", inner)).split())
                     if text:
                         head = tag[0] in "hH"
                         size = {"1": 16.0, "2": 12.0, "3": 10.0}.get(tag[1:], 10.0) if head else 10.0
