@@ -175,8 +175,8 @@ def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(mixed.where("low <> high").drop("low", "high"), "path")
 
 
-def links(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links (a, b) between ``classes`` (node, rep, sig, fine) that span the components."""
+def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+    """(node, root) of the components that verified links make among ``classes`` (node, rep, sig, fine)."""
     sigs, fine = classes.select("node", "sig"), classes.select("node", "fine")
 
     def stars(members: DataFrame) -> DataFrame:
@@ -186,8 +186,7 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees:
         return similar.jaccard_links(common.materialize(both.mapInArrow(_alike, "a long, b long"), "pairs"), classes, docs, width, percent)
 
     level = common.materialize(_grouped(sigs.mapInArrow(_rooted(trees, percent), "path long, node long").distinct(), small), "paths")
-    found = stars(level)
-    roots = similar.components(found)
+    roots = common.materialize(similar.components(stars(level)), "roots")
     level = common.materialize(_named(level, roots), "mixed")
     leaves = [level.where(F.col("n") <= small)]
     level = level.where(F.col("n") > small)
@@ -196,8 +195,7 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees:
             break
         deeper = level.select("path", "node").join(sigs, "node").select("path", "node", "sig").mapInArrow(_deeper(percent), "path long, node long").distinct()
         level = common.materialize(_grouped(deeper, small), "paths")
-        found = common.materialize(found.union(stars(level)), "links")
-        roots = similar.components(found)
+        roots = similar.extend(roots, stars(level))
         level = common.materialize(_named(level, roots), "mixed")
         leaves.append(level.where(F.col("n") <= small))
         level = level.where(F.col("n") > small)
@@ -213,20 +211,19 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees:
     named = near.select("main", "group").union(blocked.select("main", "group")).mapInArrow(_across, "node long, partner long, like double, main long")
     named = common.materialize(named.groupBy("node", "main").agg(F.max_by("partner", F.struct("like", "partner")).alias("partner")), "partners")
     pairs = named.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
-    found = common.materialize(found.union(similar.jaccard_links(common.materialize(pairs, "pairs"), classes, docs, width, percent)), "links")
+    roots = similar.extend(roots, similar.jaccard_links(common.materialize(pairs, "pairs"), classes, docs, width, percent))
 
     # classes that named a partner and are still apart, on their full sets
-    roots = similar.components(found)
     apart = named.select("node", "main").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     centre = roots.select(F.col("node").alias("main"), F.col("root").alias("centre"))
     apart = apart.join(centre, "main", "left").select(F.coalesce("centre", "main").alias("main"), "node", "root").distinct()
     mixed = apart.groupBy("main").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("main")
     apart = common.materialize(apart.join(mixed, "main", "left_semi").withColumn("minor", F.col("root") != F.col("main")), "apart")
     if apart.isEmpty():
-        return found
+        return roots
     items = similar.full_sets(apart.select("node").distinct(), classes, docs, width)
     blocks = _blocks(apart, "main", small).join(fine, "node").join(items, "node").groupBy("main", "i", "j").agg(F.collect_list(F.struct("node", "root", "fine", "items", "side")).alias("group"))
-    return found.union(common.materialize(blocks.select("group").mapInArrow(_exactly(percent), "a long, b long"), "links"))
+    return similar.extend(roots, common.materialize(blocks.select("group").mapInArrow(_exactly(percent), "a long, b long"), "links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
@@ -239,7 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     common.ready(docs.sparkSession)
     profile = common.materialize(profiles(docs, width), "profiles")
     classes = common.materialize(profile.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("fine").alias("fine")), "classes")
-    roots = similar.components(links(classes, docs, width, percent, trees))
+    roots = roots_of(classes, docs, width, percent, trees)
     named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = common.materialize(named.join(smallest, "root").select("node", "component_id"), "found")

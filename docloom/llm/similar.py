@@ -185,26 +185,43 @@ def _union(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
 
 
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """A table of pairs of nodes, sent to all executors up to ``BROADCAST_IDS`` rows."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with a link: ``root`` is the smallest node of its component.
 
     Large-star and small-star steps alternate until the edges no longer change; each step is a minimum for each node,
-    which is combined before the shuffle, and a join on the node. The number of steps grows with the logarithm of the
-    longest chain, not with its length.
+    which is combined before the shuffle, and a join on the node (with a broadcast table while there are few edges).
+    The number of steps grows with the logarithm of the longest chain, not with its length.
     """
     now = common.materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
+        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if mark == before or not mark["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = mark
         # large star: larger neighbours go to the smallest neighbour
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(_sent(least, 2 * mark["n"]), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: a node and its smaller neighbours go to the smallest of them
-        large = common.materialize(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = large.join(_sent(least, mark["n"]), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = common.materialize(small.where("u <> v").distinct(), "edges")
+
+
+def extend(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further ``links`` (a, b): only links between components take part in the new steps."""
+    known = _sent(roots, roots.count())
+    a, b = (known.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    named = links.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    named = common.materialize(named, "named")
+    merged = components(named.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    merged = _sent(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), merged.count())
+    fresh = named.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.node", "x.root")
+    every = roots.select("node", "root").union(fresh).distinct()
+    return common.materialize(every.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")

@@ -75,7 +75,7 @@ def test_near_duplicates(spark, sf_dir, make_docs, nasty, case):
 
 
 def test_deep_levels_and_blocks_lose_no_link(make_docs, monkeypatch):
-    monkeypatch.setattr(near.links, "__defaults__", (4, 1))  # nodes of five are large, and large ones remain at the end
+    monkeypatch.setattr(near.roots_of, "__defaults__", (4, 1))  # nodes of five are large, and large ones remain at the end
     rows = planted(5)
     got = near.near_duplicates(make_docs(rows)).collect()
     assert by_id(got, "doc_id", "component_id") == by_id(brute(rows, 4), "i", "c")
@@ -87,6 +87,14 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
 
 
+def test_extended_components_are_those_of_all_links(spark):
+    rng = random.Random(2)
+    first, more = ([(rng.randrange(60), rng.randrange(60)) for _ in range(n)] for n in (25, 20))
+    frame = lambda rows: spark.createDataFrame([(a, b) for a, b in rows if a != b], "a long, b long")
+    got = {r.node: r.root for r in similar.extend(similar.components(frame(first)), frame(more)).collect()}
+    assert got == {r.node: r.root for r in similar.components(frame(first + more)).collect()}
+
+
 def test_shingles_match_words():
     rng = random.Random(4)
     texts = ["".join(rng.choice(["a", "B", "é", "b ", " ", "\n", "x y", "漢 ", "\x0b", "\xa0", "cc"]) for _ in range(rng.randint(0, 20))) for _ in range(2000)] + ["", None]
