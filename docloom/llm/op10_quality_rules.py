@@ -35,6 +35,8 @@ GAPS = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 #: Strata up to which the cutoffs are sent to all executors; more are joined by a shuffle.
 BROADCAST_STRATA = 10_000
+#: Rejected texts up to which their keys (8 bytes each) are sent to all executors.
+BROADCAST_KEYS = 500_000
 
 
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -134,7 +136,9 @@ def verdict(measures: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), ["doc_id", "lang"])
+    """doc_id, lang, ``__key`` of text and stratum, on which alone a verdict depends, and ``__w``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64("text", "lang").alias("__key"))
+    return measured(rows, ["doc_id", "lang", "__key"])
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,10 +153,16 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns and whole texts; no text is shuffled."""
-    cutoffs = common.materialize(thresholds(_narrow(docs), labels), "cutoffs")
-    names = docs.columns
-    return verdict(measured(docs, names), cutoffs).where("__kept").select(*names)
+    """The documents that are kept, with all their columns and whole texts.
+
+    Measures are written once, without texts. The keys of rejected texts are sent to all executors up to
+    ``BROADCAST_KEYS`` of them, so that no text is shuffled; more are joined by a shuffle.
+    """
+    found = common.materialize(_narrow(docs), "measures")
+    gone = common.materialize(verdict(found, thresholds(found, labels)).where("not __kept").select("__key").distinct(), "rejected")
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.xxhash64(docs["text"], docs["lang"]) == gone["__key"], "left_anti")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
