@@ -30,6 +30,8 @@ from . import common, similar
 WIDTH, PERCENT = 4, 80
 TREES = 10
 SMALL = 64
+#: Blocks of large nodes have so many times the members of a small node: wider blocks repeat each member less often.
+WIDE = 4
 STARS = 4
 ROUNDS = 2
 FINE = 256
@@ -206,7 +208,7 @@ def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, tree
     for x in leaves[1:]:
         rest = rest.unionByName(x.select("path", "node", "pivots"))
     near = _named(rest, roots).join(fine, "node").withColumn("side", F.lit(0)).groupBy("path").agg(F.first("main").alias("main"), member)
-    big = _blocks(level.withColumn("minor", F.col("root") != F.col("main")).select("path", "node", "root", "main", "minor"), "path", small)
+    big = _blocks(level.withColumn("minor", F.col("root") != F.col("main")).select("path", "node", "root", "main", "minor"), "path", WIDE * small)
     blocked = big.join(fine, "node").groupBy("path", "i", "j").agg(F.first("main").alias("main"), member)
     named = near.select("main", "group").union(blocked.select("main", "group")).mapInArrow(_across, "node long, partner long, like double, main long")
     named = common.materialize(named.groupBy("node", "main").agg(F.max_by("partner", F.struct("like", "partner")).alias("partner")), "partners")
@@ -222,7 +224,7 @@ def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, tree
     if apart.isEmpty():
         return roots
     items = similar.full_sets(apart.select("node").distinct(), classes, docs, width)
-    blocks = _blocks(apart, "main", small).join(fine, "node").join(items, "node").groupBy("main", "i", "j").agg(F.collect_list(F.struct("node", "root", "fine", "items", "side")).alias("group"))
+    blocks = _blocks(apart, "main", WIDE * small).join(fine, "node").join(items, "node").groupBy("main", "i", "j").agg(F.collect_list(F.struct("node", "root", "fine", "items", "side")).alias("group"))
     return similar.extend(roots, common.materialize(blocks.select("group").mapInArrow(_exactly(percent), "a long, b long"), "links"))
 
 
