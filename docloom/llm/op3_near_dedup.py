@@ -1,10 +1,12 @@
 """Near-duplicates by a chosen-path set similarity join.
 
-1. Every distinct shingle set gets a signature of 64 minwise tokens; equal sets are one class from the start.
-2. Independent trees branch the classes: a node of a tree picks, by its own name, one or two of the 64 places (1.25 on
+1. Every distinct shingle set gets a signature of 256 minwise tokens; equal sets are one class from the start.
+2. Independent trees branch the classes: a node of a tree picks, by its own name, one or two of the 256 places (1.25 on
    average, the inverse of the threshold), and a class goes on to the child named by the place and its minwise token
-   there. Classes that share much stay together on some path, others part quickly. Paths of two levels are computed
-   without communication; only nodes that are still large branch on, two levels a round.
+   there. Classes that share much stay together on some path, others part quickly. Paths of ``TREES`` trees of two
+   levels are computed without communication. Classes in nodes that are large and hold several components take part in
+   ``DEEP`` other trees of four and, where nodes are still large, six levels: as more pairs part on a longer path, it
+   takes more trees to keep them.
 3. Within each node, every class is compared with the smallest one, in large nodes with ``STARS`` of them: as many
    pairs as members, however large the node. Pairs whose sketches (256 minima of a byte) agree enough are verified on
    the full sets, and components are formed.
@@ -14,8 +16,9 @@
    These pairs are verified first; classes that named a partner and are still apart are then compared exhaustively
    with each other on their full sets, again in blocks. Rows grow with the members of nodes, never with their pairs.
 
-A pair of similarity 0.8 meets in a tree of two levels with probability about 0.73, so ten trees miss it with
-probability about 2e-6. All intermediate tables are files in the shared folder.
+A pair of similarity 0.8 meets in a tree of two levels with probability about 0.73, of six with 0.48. All trees draw from
+the same 256 places; with that, it is missed by twelve trees of two levels with probability about 4e-7, and by 28 of six
+with 4e-7 as well. All intermediate tables are files in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common, similar
 
 WIDTH, PERCENT = 4, 80
-TREES = 10
+TREES, DEEP = 12, 28
 SMALL = 64
 #: Blocks of large nodes have so many times the members of a small node: wider blocks repeat each member less often.
 WIDE = 4
@@ -52,8 +55,18 @@ def branch(path: np.ndarray, sig: np.ndarray, percent: int = PERCENT) -> tuple[n
     return row, similar.mix(path[row] * np.uint64(0x9E3779B97F4A7C15) + similar.mix(place.astype(np.uint64) << np.uint64(32) | sig[row, place]))
 
 
+def paths(sig: np.ndarray, first: int, trees: int, levels: int, percent: int = PERCENT):
+    """For each of ``trees`` trees from number ``first``: (row, name of a node at that level) for the rows of ``sig``."""
+    for tree in range(first, first + trees):
+        row, path = np.arange(len(sig)), np.full(len(sig), similar.mix(np.array([tree + 1], np.uint64))[0])
+        for _ in range(levels):
+            again, path = branch(path, sig[row], percent)
+            row = row[again]
+        yield row, path
+
+
 def _signature(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, similar.PERMUTATIONS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, FINE)
 
 
 def _sketch(values: list[bytes]) -> np.ndarray:
@@ -68,21 +81,18 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             hashes, begin = similar.shingles(batch.column(1), width)
             found = similar.sets(hashes, begin)
             minima = similar.signatures(hashes, begin, FINE)
-            sig, fine = minima[:, : similar.PERMUTATIONS], minima.astype(np.uint8)
+            sig, fine = minima.astype(np.uint16), minima.astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([similar.set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], names=["doc_id", "n_shingles", "node", "sig", "fine"])
 
     return common.id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary, fine binary")
 
 
-def _rooted(trees: int, percent: int):
+def _rooted(first: int, trees: int, levels: int, percent: int):
     def run(batches):
         for batch in batches:
             sig, nodes = _signature(batch.column(1)), batch.column(0)
-            for tree in range(trees):
-                path = np.full(len(sig), similar.mix(np.array([tree + 1], np.uint64))[0])
-                row, path = branch(path, sig, percent)
-                again, path = branch(path, sig[row], percent)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), nodes.take(pa.array(row[again]))], names=["path", "node"])
+            for row, path in paths(sig, first, trees, levels, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), nodes.take(pa.array(row))], names=["path", "node"])
 
     return run
 
@@ -181,23 +191,29 @@ def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, tree
     """(node, root) of the components that verified links make among ``classes`` (node, rep, sig, fine)."""
     sigs, fine = classes.select("node", "sig"), classes.select("node", "fine")
 
-    def stars(members: DataFrame) -> DataFrame:
-        """Links of each member to the pivots of its node."""
+    def stars(members: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Links of each member to the pivots of its node, but for pairs that are of one component in ``known``."""
         pairs = members.select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        if known is not None:
+            r, s = (known.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+            pairs = pairs.join(r, "a", "left").join(s, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
         both = pairs.join(fine.select(F.col("node").alias("a"), F.col("fine").alias("x")), "a").join(fine.select(F.col("node").alias("b"), F.col("fine").alias("y")), "b").select("a", "b", "x", "y")
         return similar.jaccard_links(common.materialize(both.mapInArrow(_alike, "a long, b long"), "pairs"), classes, docs, width, percent)
 
-    level = common.materialize(_grouped(sigs.mapInArrow(_rooted(trees, percent), "path long, node long").distinct(), small), "paths")
+    level = common.materialize(_grouped(sigs.mapInArrow(_rooted(0, trees, 2, percent), "path long, node long").distinct(), small), "paths")
     roots = common.materialize(similar.components(stars(level)), "roots")
     level = common.materialize(_named(level, roots), "mixed")
     leaves = [level.where(F.col("n") <= small)]
     level = level.where(F.col("n") > small)
-    for _ in range(rounds):
+    for k in range(rounds):
         if level.isEmpty():
             break
-        deeper = level.select("path", "node").join(sigs, "node").select("path", "node", "sig").mapInArrow(_deeper(percent), "path long, node long").distinct()
-        level = common.materialize(_grouped(deeper, small), "paths")
-        roots = similar.extend(roots, stars(level))
+        if k == 0:  # other trees, as it takes more of them at this depth
+            deeper = level.select("node").distinct().join(sigs, "node").select("node", "sig").mapInArrow(_rooted(trees, DEEP, 4, percent), "path long, node long").distinct()
+        else:
+            deeper = level.select("path", "node").join(sigs, "node").select("path", "node", "sig").mapInArrow(_deeper(percent), "path long, node long").distinct()
+        level = common.materialize(_named(_grouped(deeper, small), roots).drop("root", "size", "main"), "paths")
+        roots = similar.extend(roots, stars(level, roots))
         level = common.materialize(_named(level, roots), "mixed")
         leaves.append(level.where(F.col("n") <= small))
         level = level.where(F.col("n") > small)

@@ -148,3 +148,15 @@ def test_near_pairs(make_docs):
     for r in brute(rows, 5):
         want.setdefault(r["c"], set()).add(r["i"])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+@pytest.mark.parametrize(("first", "trees", "levels"), [(0, near.TREES, 2), (near.TREES, near.DEEP, 6)])
+def test_trees_keep_pairs_at_the_threshold_at_every_depth(first, trees, levels):
+    rng = np.random.default_rng(6)
+    n = 4000
+    a = rng.integers(0, 1 << 16, (n, near.FINE)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 16, a.shape).astype(np.uint16))
+    met = np.zeros(n, bool)
+    for (r, p), (s, q) in zip(near.paths(a, first, trees, levels), near.paths(b, first, trees, levels), strict=True):
+        met |= np.isin(np.arange(n), np.intersect1d(np.stack([r, p.view(np.int64)], 1).copy().view("i8,i8"), np.stack([s, q.view(np.int64)], 1).copy().view("i8,i8"))["f0"])
+    assert met.all()  # ten trees on 64 places lost some 25 of so many at six levels
