@@ -10,7 +10,7 @@ import pytest
 
 from docloom.llm import op3_near_dedup as near
 from docloom.llm import similar
-from docloom.llm.op5_fingerprints import edit, fingerprint, fingerprints, likeness, near_pairs
+from docloom.llm.op5_fingerprints import edit, fingerprint, fingerprints, likeness, near_groups, near_pairs
 
 from .conftest import by_id
 
@@ -160,3 +160,24 @@ def test_trees_keep_pairs_at_the_threshold_at_every_depth(first, trees, levels):
     for (r, p), (s, q) in zip(near.paths(a, first, trees, levels), near.paths(b, first, trees, levels), strict=True):
         met |= np.isin(np.arange(n), np.intersect1d(np.stack([r, p.view(np.int64)], 1).copy().view("i8,i8"), np.stack([s, q.view(np.int64)], 1).copy().view("i8,i8"))["f0"])
     assert met.all()  # ten trees on 64 places lost some 25 of so many at six levels
+
+
+def templates(seed=8):
+    """Texts that share a template and differ in more words than the threshold allows, each with a near copy."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, texts = [word() for _ in range(200)], []
+    for _ in range(40):
+        own = base[:130] + [word() for _ in range(40)] + base[130:]
+        texts += [" ".join(own), " ".join([*own[:-3], word(), *own[-2:]])]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_buckets_of_templates_lose_no_link(make_docs):
+    rows = templates()
+    got = near_groups(make_docs(rows)).collect()
+    want = brute(rows, 5)
+    sizes = {c: sum(r["c"] == c for r in want) for c in {r["c"] for r in want}}
+    assert len(sizes) == 40
+    assert by_id(got, "doc_id", "component_id", "n_alike") == by_id([{**r, "m": sizes[r["c"]]} for r in want], "i", "c", "m")
