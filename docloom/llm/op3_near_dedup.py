@@ -38,7 +38,7 @@ WIDE = 4
 STARS = 4
 ROUNDS = 2
 FINE = 256
-#: Least share of equal minima for a pair to be verified; one of similarity 0.8 falls short (four deviations) once in 30,000.
+#: Least share of equal minima for a pair to be verified; one of similarity 0.8 falls short (four deviations) about once in 14,000.
 SKETCH = 0.70
 
 
