@@ -7,9 +7,10 @@
    levels are computed without communication. Classes in nodes that are large and hold several components take part in
    ``DEEP`` other trees of four and, where nodes are still large, six levels: as more pairs part on a longer path, it
    takes more trees to keep them.
-3. Within each node, every class is compared with the smallest one, in large nodes with ``STARS`` of them: as many
-   pairs as members, however large the node. Pairs whose sketches (256 minima of a byte) agree enough are verified on
-   the full sets, and components are formed.
+3. Every class is compared with one pivot: of the smallest members of its nodes, that which it shares most nodes with.
+   That is one pair for each class, however many nodes hold it and however large they are. Pairs whose sketches (256
+   minima of a byte) agree enough are verified on the full sets, and components are formed. From then on only members
+   outside the largest component of a node count, and once more each is compared with one pivot, a member of it.
 4. Nodes that still hold more than one component are compared exhaustively across components: small nodes at once;
    large ones branch on first, and what stays large at the last level is compared in blocks, those outside the node's
    main component against all. By their sketches, each class names its most alike partner elsewhere, if there is one.
@@ -33,13 +34,12 @@ from . import common, similar
 WIDTH, PERCENT = 4, 80
 TREES, DEEP = 12, 28
 SMALL = 64
-#: Blocks of large nodes have so many times the members of a small node: wider blocks repeat each member less often.
-WIDE = 4
-STARS = 4
+#: Members of a block of a large node, and bytes of full sets in one: wider blocks repeat each member less often.
+WIDE, WIDE_BYTES = 1_024, 4 << 20
 ROUNDS = 2
 FINE = 256
-#: Least share of equal minima for a pair to be verified; one of similarity 0.8 falls short (four deviations) about once in 14,000.
-SKETCH = 0.70
+#: Least share of equal minima for a pair to be verified; one of similarity 0.8 falls short (six deviations) about once in 10^9.
+SKETCH = 0.65
 
 
 def branch(path: np.ndarray, sig: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -65,19 +65,16 @@ def paths(sig: np.ndarray, first: int, trees: int, levels: int, percent: int = P
         yield row, path
 
 
-def _signature(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, FINE)
-
-
-def _sketch(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.uint8).reshape(-1, FINE)
+def _signature(column: pa.Array, kind: type = np.uint16) -> np.ndarray:
+    """The fixed-size values of a binary column, a row each."""
+    return common.raw(column)[0].view(kind).reshape(-1, FINE)
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """Per row: doc_id, n_shingles, node (name of its shingle set, null if empty), sig (for branching), fine (for comparing)."""
 
     def run(batches):
-        for batch in common.text_slices(batches):
+        for batch in common.text_slices(batches, limit=2 * similar.STRETCH):
             hashes, begin = similar.shingles(batch.column(1), width)
             found = similar.sets(hashes, begin)
             minima = similar.signatures(hashes, begin, FINE)
@@ -109,100 +106,133 @@ def _deeper(percent: int):
 
 
 def _alike(batches):
-    """Keep (a, b) whose signatures agree enough."""
+    """Keep (a, b) whose sketches agree enough."""
     for batch in batches:
-        keep = pa.array((_sketch(batch.column(2).to_pylist()) == _sketch(batch.column(3).to_pylist())).mean(axis=1) >= SKETCH, pa.bool_())
+        keep = pa.array((_signature(batch.column(2), np.uint8) == _signature(batch.column(3), np.uint8)).mean(axis=1) >= SKETCH, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def _sides(group: list[dict]) -> tuple[list[dict], list[dict], np.ndarray]:
-    """The two sides of a block (all members on both, if it is a whole node), and the likeness of each pair, 0 within a component."""
-    left, right = [x for x in group if x["side"] != 2], [x for x in group if x["side"] != 1]
-    p, q = _sketch([x["fine"] for x in left]), _sketch([x["fine"] for x in right])
-    like = np.stack([(q == row).mean(axis=1) for row in p]) if left and right else np.zeros((len(left), len(right)))
-    r, s = (np.array([x["root"] for x in side], np.int64) for side in (left, right))
-    return left, right, np.where((like >= SKETCH) & (r[:, None] != s[None, :]), like, 0)
+class _Block:
+    """One group of members: side 0 is a whole node, 1 holds those outside the main component, 2 those that meet them."""
+
+    def __init__(self, members: pa.StructArray):
+        self.node, self.root, self.side = (members.field(x).to_numpy(zero_copy_only=False) for x in ("node", "root", "side"))
+        self.fine = _signature(members.field("fine"), np.uint8)
+        self.left, self.right = np.flatnonzero(self.side != 2), np.flatnonzero(self.side != 1)
+        self.whole = not self.side.any()
+
+    def likeness(self):
+        """For each left member (its place, likeness to each right member, 0 within a component and below ``SKETCH``)."""
+        theirs, roots = self.fine[self.right], self.root[self.right]
+        for x in self.left.tolist():
+            like = (theirs == self.fine[x]).mean(axis=1)
+            like[(like < SKETCH) | (roots == self.root[x])] = 0
+            yield x, like
+
+
+def _groups(batches, column: str):
+    """(row, members) of the groups of a batch, one at a time."""
+    for batch in batches:
+        groups = batch.column(batch.schema.get_field_index(column))
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1), groups[k].values
 
 
 def _across(batches):
     """For each member of a block with an alike partner in another component: the most alike one."""
-    for batch in batches:
-        rows = []
-        for main, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            left, right, like = _sides(group)
-            for side, others, table in ((left, right, like), (right, left, like.T)):
-                for x, row in zip(side, table, strict=True):
-                    if len(row) and (j := int(row.argmax())) >= 0 and row[j] > 0:
-                        rows.append((x["node"], others[j]["node"], float(row[j]), main))
-                if group[0]["side"] == 0:
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["node", "partner", "like", "main"])
+    for row, members in _groups(batches, "group"):
+        block = _Block(members)
+        best, partner = np.zeros(len(block.node)), np.full(len(block.node), -1)
+        for x, like in block.likeness():
+            if not len(like):
+                break
+            j = int(like.argmax())
+            if like[j] > best[x]:
+                best[x], partner[x] = like[j], block.right[j]
+            if not block.whole:
+                more = like > best[block.right]
+                best[block.right[more]], partner[block.right[more]] = like[more], x
+        at = np.flatnonzero(partner >= 0)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(block.node[at]), pa.array(block.node[partner[at]]), pa.array(best[at]), pa.array(np.full(len(at), row.column(0)[0].as_py()))], names=["node", "partner", "like", "main"])
 
 
 def _exactly(percent: int):
     """Links of a block on full sets: for each left member one to each other component at most."""
 
     def run(batches):
-        for batch in batches:
+        for _, members in _groups(batches, "group"):
+            block, items = _Block(members), members.field("items")
+            own = lambda i: np.frombuffer(items[int(i)].as_buffer(), np.uint64)  # noqa: E731, B023
             a, b = [], []
-            for group in batch.column(0).to_pylist():
-                left, right, like = _sides(group)
-                for x, row in zip(left, like, strict=True):
-                    done = set()
-                    for j in np.argsort(-row, kind="stable").tolist():
-                        if row[j] <= 0:
-                            break
-                        y = right[j]
-                        if y["root"] not in done and similar.linked(np.frombuffer(x["items"], np.uint64), np.frombuffer(y["items"], np.uint64), percent):
-                            done.add(y["root"])
-                            a.append(min(x["node"], y["node"]))
-                            b.append(max(x["node"], y["node"]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for x, like in block.likeness():
+                done: set[int] = set()
+                for j in np.argsort(-like, kind="stable")[: np.count_nonzero(like)].tolist():
+                    y = int(block.right[j])
+                    if block.root[y] not in done and similar.linked(own(x), own(y), percent):
+                        done.add(block.root[y])
+                        a.append(min(block.node[x], block.node[y]))
+                        b.append(max(block.node[x], block.node[y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _blocks(members: DataFrame, key: str, small: int) -> DataFrame:
-    """Members of each ``key`` (with ``minor``) dealt to blocks of about ``small`` minor members by as many of all: (key, i, j, ..., side)."""
-    sizes = members.groupBy(key).agg(F.ceil(F.count_if("minor") / small).alias("mb"), F.ceil(F.count("*") / small).alias("nb"))
-    rows = members.join(sizes, key)
+def _blocks(members: DataFrame, key: str, small: int, weight=None, limit: int = 1) -> DataFrame:
+    """Members of each ``key`` (with ``minor``) dealt to blocks of about ``small`` minor members, and ``limit`` of ``weight``, by as many of all: (key, i, j, ..., side)."""
+
+    def blocks(n, w):
+        return F.ceil(n / small) if weight is None else F.greatest(F.ceil(n / small), F.ceil(w / limit))
+
+    w = F.lit(0) if weight is None else weight
+    sizes = members.groupBy(key).agg(blocks(F.count_if("minor"), F.sum(F.when(F.col("minor"), w))).alias("mb"), blocks(F.count("*"), F.sum(w)).alias("nb"))
+    rows = members.join(common.materialize(sizes, "sizes"), key)
     block = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     anyone = rows.withColumn("j", block % F.col("nb")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1))).withColumn("side", F.lit(2))
     outside = rows.where("minor").withColumn("i", block % F.col("mb")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("side", F.lit(1))
     return anyone.unionByName(outside)
 
 
-def _grouped(members: DataFrame, small: int) -> DataFrame:
-    """Members of nodes with more than one class, with the node's size and its pivots."""
-    orders = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(1, STARS)]
-    least = members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.array(*orders).alias("others")).where("n > 1")
-    least = least.select("path", "n", F.when(F.col("n") > small, F.array_distinct(F.concat(F.array("first"), "others"))).otherwise(F.array("first")).alias("pivots"))
+def _grouped(members: DataFrame) -> DataFrame:
+    """(path, node, n, pivot): members of nodes with more than one class, the size of the node and its smallest class.
+
+    The sizes are written first, so that the join meets two exchanges and Spark can split a node that is large.
+    """
+    least = common.materialize(members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "nodes")
     return members.join(least, "path")
 
 
 def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the nodes that hold more than one component, with ``root``, the node's ``size`` and ``main`` component."""
-    named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.first(F.when(F.col("node") == F.col("pivots")[0], F.col("root")), True).alias("main"))
-    return named.join(mixed.where("low <> high").drop("low", "high"), "path")
+    """(path, node, n, root, main, pivot) of the nodes with more than one component: ``main`` is the largest, ``pivot`` one of its members."""
+    named = members.select("path", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sums = named.groupBy("path", "root").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node")).alias("one"))
+    mixed = sums.groupBy("path").agg(F.count("*").alias("parts"), F.max_by(F.struct("root", "one"), F.struct("m", "root")).alias("top")).where("parts > 1")
+    mixed = common.materialize(mixed.select("path", F.col("top.root").alias("main"), F.col("top.one").alias("pivot")), "nodes")
+    return named.join(mixed, "path")
 
 
-def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int, small: int = SMALL, rounds: int = ROUNDS, wide: int = WIDE) -> DataFrame:
     """(node, root) of the components that verified links make among ``classes`` (node, rep, sig, fine)."""
     sigs, fine = classes.select("node", "sig"), classes.select("node", "fine")
 
-    def stars(members: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """Links of each member to the pivots of its node, but for pairs that are of one component in ``known``."""
-        pairs = members.select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        if known is not None:
-            r, s = (known.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-            pairs = pairs.join(r, "a", "left").join(s, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    def stars(members: DataFrame) -> DataFrame:
+        """Links of members to one pivot each, that which they share most nodes with."""
+        met = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("m"))
+        pairs = met.groupBy("node").agg(F.max_by("pivot", F.struct("m", "pivot")).alias("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        pairs = common.materialize(pairs.distinct(), "stars")
         both = pairs.join(fine.select(F.col("node").alias("a"), F.col("fine").alias("x")), "a").join(fine.select(F.col("node").alias("b"), F.col("fine").alias("y")), "b").select("a", "b", "x", "y")
         return similar.jaccard_links(common.materialize(both.mapInArrow(_alike, "a long, b long"), "pairs"), classes, docs, width, percent)
 
-    level = common.materialize(_grouped(sigs.mapInArrow(_rooted(0, trees, 2, percent), "path long, node long").distinct(), small), "paths")
+    def mixed(level: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members of nodes with several components, roots) after those outside the main one met a pivot of it."""
+        level = common.materialize(_named(level, roots), "mixed")
+        roots = similar.extend(roots, stars(level.where("root <> main")))
+        return common.materialize(_named(level, roots), "mixed"), roots
+
+    level = common.materialize(_grouped(sigs.mapInArrow(_rooted(0, trees, 2, percent), "path long, node long").distinct()), "paths")
     roots = common.materialize(similar.components(stars(level)), "roots")
-    level = common.materialize(_named(level, roots), "mixed")
+    level, roots = mixed(level, roots)
     leaves = [level.where(F.col("n") <= small)]
     level = level.where(F.col("n") > small)
     for k in range(rounds):
@@ -212,19 +242,17 @@ def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, tree
             deeper = level.select("node").distinct().join(sigs, "node").select("node", "sig").mapInArrow(_rooted(trees, DEEP, 4, percent), "path long, node long").distinct()
         else:
             deeper = level.select("path", "node").join(sigs, "node").select("path", "node", "sig").mapInArrow(_deeper(percent), "path long, node long").distinct()
-        level = common.materialize(_named(_grouped(deeper, small), roots).drop("root", "size", "main"), "paths")
-        roots = similar.extend(roots, stars(level, roots))
-        level = common.materialize(_named(level, roots), "mixed")
+        level, roots = mixed(common.materialize(_grouped(common.materialize(deeper, "paths")), "paths"), roots)
         leaves.append(level.where(F.col("n") <= small))
         level = level.where(F.col("n") > small)
 
     # what is left: nodes that hold several components, small ones and those that stayed large to the end
     member = F.collect_list(F.struct("node", "root", "fine", "side")).alias("group")
-    rest = leaves[0].select("path", "node", "pivots")
+    rest = leaves[0]
     for x in leaves[1:]:
-        rest = rest.unionByName(x.select("path", "node", "pivots"))
+        rest = rest.unionByName(x)
     near = _named(rest, roots).join(fine, "node").withColumn("side", F.lit(0)).groupBy("path").agg(F.first("main").alias("main"), member)
-    big = _blocks(level.withColumn("minor", F.col("root") != F.col("main")).select("path", "node", "root", "main", "minor"), "path", WIDE * small)
+    big = _blocks(common.materialize(_named(level, roots), "large").withColumn("minor", F.col("root") != F.col("main")).select("path", "node", "root", "main", "minor"), "path", wide)
     blocked = big.join(fine, "node").groupBy("path", "i", "j").agg(F.first("main").alias("main"), member)
     named = near.select("main", "group").union(blocked.select("main", "group")).mapInArrow(_across, "node long, partner long, like double, main long")
     named = common.materialize(named.groupBy("node", "main").agg(F.max_by("partner", F.struct("like", "partner")).alias("partner")), "partners")
@@ -235,12 +263,13 @@ def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, tree
     apart = named.select("node", "main").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     centre = roots.select(F.col("node").alias("main"), F.col("root").alias("centre"))
     apart = apart.join(centre, "main", "left").select(F.coalesce("centre", "main").alias("main"), "node", "root").distinct()
-    mixed = apart.groupBy("main").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("main")
-    apart = common.materialize(apart.join(mixed, "main", "left_semi").withColumn("minor", F.col("root") != F.col("main")), "apart")
+    several = apart.groupBy("main").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("main")
+    apart = common.materialize(apart.join(several, "main", "left_semi").withColumn("minor", F.col("root") != F.col("main")), "apart")
     if apart.isEmpty():
         return roots
     items = similar.full_sets(apart.select("node").distinct(), classes, docs, width)
-    blocks = _blocks(apart, "main", WIDE * small).join(fine, "node").join(items, "node").groupBy("main", "i", "j").agg(F.collect_list(F.struct("node", "root", "fine", "items", "side")).alias("group"))
+    sized = common.materialize(apart.join(items.select("node", F.octet_length("items").alias("bytes")), "node"), "sized")
+    blocks = _blocks(sized, "main", wide, F.col("bytes"), WIDE_BYTES).join(fine, "node").join(items, "node").groupBy("main", "i", "j").agg(F.collect_list(F.struct("node", "root", "fine", "items", "side")).alias("group"))
     return similar.extend(roots, common.materialize(blocks.select("group").mapInArrow(_exactly(percent), "a long, b long"), "links"))
 
 

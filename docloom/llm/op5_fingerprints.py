@@ -87,7 +87,7 @@ def _classes(docs: DataFrame, width: int, bands: int) -> DataFrame:
     assert similar.PERMUTATIONS // bands % 2 == 0
 
     def sign(batches):
-        for batch in common.text_slices(batches):
+        for batch in common.text_slices(batches, limit=2 * similar.STRETCH):
             hashes, begin = similar.shingles(batch.column(1), width)
             sig = similar.signatures(hashes, begin)
             keys = [[int(similar.mix(np.frombuffer(s.tobytes(), np.uint64)).sum(dtype=np.uint64) >> np.uint64(1)) for s in np.split(x, bands)] for x in sig]

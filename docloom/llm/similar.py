@@ -13,7 +13,9 @@ from . import common
 
 PERMUTATIONS = 64
 #: Up to so many ids (8 bytes each) are sent to all executors; more go through a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 250_000
+#: Bytes of text that are hashed at once; the arrays that this takes are some 40 times as large.
+STRETCH = 1 << 20
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -44,18 +46,32 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and where each text's begin.
 
-    A word's hash is a polynomial over random values of its bytes, from one running sum over the batch.
+    A word's hash is a polynomial over random values of its bytes, from one running sum over a stretch of about
+    ``STRETCH`` bytes, so that a long text takes little more memory than its hashes.
     """
     data, offsets = common.raw(texts)
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    data = common._LOWER[data]
+    gaps = np.flatnonzero(_GAP[data])
+    bounds = [0]
+    while n - bounds[-1] > STRETCH and (k := int(np.searchsorted(gaps, bounds[-1] + STRETCH))) < len(gaps):
+        bounds.append(int(gaps[k]))
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for low, high in zip(bounds, [*bounds[1:], n], strict=True):
+        if high > low:
+            found, at = _hashed(common._LOWER[data[low:high]], offsets[1:-1] - low)
+            hashes.append(found)
+            starts.append(at + low)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _hashed(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, its first byte); words also end at ``borders``."""
+    n = len(data)
     word = ~_GAP[data]
     edge = np.zeros(n + 1, bool)
     edge[1:n] = word[1:] != word[:-1]
     edge[0], edge[n] = word[0], word[-1]
-    inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < n)]
+    inner = borders[(borders > 0) & (borders < n)]
     touching = np.unique(inner[word[inner] & word[inner - 1]])  # words of two texts that meet
     marks = np.flatnonzero(edge)
     if len(touching):
@@ -63,8 +79,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = marks[::2], marks[1::2]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(n, _BASE), out=total[1:])
-    out = mix((total[ends] - total[starts]) * _powers(n, _BACK)[starts])
-    return out, np.searchsorted(starts, offsets)
+    return mix((total[ends] - total[starts]) * _powers(n, _BACK)[starts]), starts
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +158,7 @@ def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
         wanted = F.broadcast(wanted)
 
     def make(batches):
-        for batch in common.text_slices(batches):
+        for batch in common.text_slices(batches, limit=2 * STRETCH):
             found = sets(*shingles(batch.column(1), width))
             yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "items"])
 

@@ -75,7 +75,7 @@ def test_near_duplicates(spark, sf_dir, make_docs, nasty, case):
 
 
 def test_deep_levels_and_blocks_lose_no_link(make_docs, monkeypatch):
-    monkeypatch.setattr(near.roots_of, "__defaults__", (4, 1))  # nodes of five are large, and large ones remain at the end
+    monkeypatch.setattr(near.roots_of, "__defaults__", (4, 1, 8))  # nodes of five are large, and large ones remain at the end
     rows = planted(5)
     got = near.near_duplicates(make_docs(rows)).collect()
     assert by_id(got, "doc_id", "component_id") == by_id(brute(rows, 4), "i", "c")
