@@ -49,8 +49,9 @@ def keywords(text: Column) -> Column:
 
 
 def keyword_jaccard(a: Column, b: Column) -> Column:
-    """Of two keyword arrays; 0 if both are empty."""
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
+    """Of two arrays of distinct keywords; 0 if both are empty."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(shared.cast("double"), (F.size(a) + F.size(b) - shared).cast("double")), F.lit(0.0))
 
 
 def is_negation(text: Column) -> Column:

@@ -8,36 +8,46 @@ of one answer, a few dozen rows; answers are independent Arrow groups.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from .. import constants as C
 from ..functions import text as T
 from ..functions import vectors as V
-from ..plugins import Embedder, Scorer, hash_embedder, overlap_scorer
+from ..plugins import Embedder, Scorer, hash_embedder, overlap_scorer, prepared
+from ..storage import materialize
 from .retrieve import dense_rank, dense_topk
 
-CITED = "answer_id long, claim_no int, claim string, cited boolean, score double, ce_score double, keyword_sim double, idx long"
+CITED = "claim_no int, claim string, cited boolean, score double, ce_score double, keyword_sim double, idx long"
+#: The columns that name an answer.
+ANSWER = ("answer_id",)
 
 
-def score_candidates(claims: DataFrame, index: DataFrame, embed: Embedder = hash_embedder, scorer: Scorer = overlap_scorer, most: int = C.CITE_CANDIDATES, scope: list[str] | None = None) -> DataFrame:
-    """(answer_id, claim_no, claim, cand_no, idx, ce_score, keyword_sim, combined) of claims and index (idx, text, embedding).
+def score_candidates(claims: DataFrame, index: DataFrame, embed: Embedder = hash_embedder, scorer: Scorer = overlap_scorer, most: int = C.CITE_CANDIDATES, scope: list[str] | None = None, keys=ANSWER) -> DataFrame:
+    """(keys, claim_no, claim, cand_no, idx, ce_score, keyword_sim, combined) of claims and index (idx, text, embedding).
 
-    With ``scope``, columns of both, a claim meets the entries of its own scope by a join; else it is held against the
-    whole index in blocks.
+    With ``scope``, columns of both and among ``keys``, a claim meets the entries of its own scope by a join; else it is
+    held against the whole index in blocks. Keywords, and what the scorer needs of a text, are taken once from each claim
+    and each entry, not from each pair.
     """
-    scope = scope or []
-    named = claims.withColumn("query_id", F.xxhash64("answer_id", "claim_no"))
-    asked = named.select(*scope, "query_id", embed(F.col("claim")).alias("embedding"))
-    best = dense_rank(asked, index, scope).where(F.col("rank") <= most) if scope else dense_topk(asked, index, most)
-    rows = best.select(*scope, "query_id", "idx", F.col("rank").alias("cand_no")).join(named, [*scope, "query_id"]).join(index.select(*scope, "idx", "text"), [*scope, "idx"])
-    rows = rows.withColumn("ce_score", V.sigmoid(scorer(F.col("claim"), F.col("text")))).withColumn("keyword_sim", T.keyword_jaccard(T.keywords(F.col("claim")), T.keywords(F.col("text"))))
-    return rows.select("answer_id", "claim_no", "claim", "cand_no", "idx", "ce_score", "keyword_sim", F.round(F.col("ce_score") + F.col("keyword_sim") * C.KEYWORD_WEIGHT, 9).alias("combined"))
-
-
-def choose(rows: pd.DataFrame, threshold: float, alpha: float, limit: int) -> pd.DataFrame:
+    scope, keys = scope or [], list(keys)
+    prepare, compare = prepared(scorer)
+    ask = claims.select(*keys, "claim_no", "claim", embed(F.col("claim")).alias("embedding"), T.keywords(F.col("claim")).alias("__ck"), prepare(F.col("claim")).alias("__cp"))
+    ask = materialize(ask.withColumn("query_id", F.monotonically_increasing_id()), "claims")
+    vectors = ask.select(*scope, "query_id", "embedding")
+    best = dense_rank(vectors, index, scope).where(F.col("rank") <= most) if scope else dense_topk(vectors, index, most)
+    best = materialize(best.select(*scope, "query_id", "idx", F.col("rank").alias("cand_no")), "best")
+    read = index.join(best.select(*scope, "idx").distinct(), [*scope, "idx"], "left_semi").select(*scope, "idx", T.keywords(F.col("text")).alias("__ek"), prepare(F.col("text")).alias("__ep"))
+    rows = best.join(ask.drop("embedding"), [*scope, "query_id"]).join(materialize(read, "read"), [*scope, "idx"])
+    rows = rows.withColumn("ce_score", V.sigmoid(compare(F.col("__cp"), F.col("__ep")))).withColumn("keyword_sim", T.keyword_jaccard(F.col("__ck"), F.col("__ek")))
+    return rows.select(*keys, "claim_no", "claim", "cand_no", "idx", "ce_score", "keyword_sim", F.round(F.col("ce_score") + F.col("keyword_sim") * C.KEYWORD_WEIGHT, 9).alias("combined"))
+
+
+def choose(rows: pd.DataFrame, threshold: float, alpha: float, limit: int, keys: list[str]) -> pd.DataFrame:
     """One row for each claim of an answer, in order: its best candidate, cited if it reaches ``threshold``."""
     cited: dict[int, int] = {}
+    name = [rows[k].iloc[0] for k in keys]
     out = []
     for number, group in rows.sort_values(["claim_no", "cand_no"]).groupby("claim_no", sort=True):
         best, top = None, None
@@ -49,14 +59,16 @@ def choose(rows: pd.DataFrame, threshold: float, alpha: float, limit: int) -> pd
         ok = top >= threshold
         if ok:
             cited[best.idx] = cited.get(best.idx, 0) + 1
-        out.append((best.answer_id, number, best.claim, ok, round(top, 4), round(best.ce_score, 4), round(best.keyword_sim, 4), best.idx if ok else None))
-    made = pd.DataFrame(out, columns=[c.split()[0] for c in CITED.split(", ")])
+        out.append((*name, number, best.claim, ok, round(top, 4), round(best.ce_score, 4), round(best.keyword_sim, 4), best.idx if ok else None))
+    made = pd.DataFrame(out, columns=[*keys, *(c.split()[0] for c in CITED.split(", "))])
     return made.astype({"idx": "Int64"})
 
 
-def cite(candidates: DataFrame, threshold: float = C.CITE_THRESHOLD, alpha: float = C.DIVERSITY_ALPHA, limit: int = C.HUB_LIMIT) -> DataFrame:
-    """(answer_id, claim_no, claim, cited, score, ce_score, keyword_sim, idx)."""
-    return candidates.groupBy("answer_id").applyInPandas(lambda rows: choose(rows, threshold, alpha, limit), CITED)
+def cite(candidates: DataFrame, threshold: float = C.CITE_THRESHOLD, alpha: float = C.DIVERSITY_ALPHA, limit: int = C.HUB_LIMIT, keys=ANSWER) -> DataFrame:
+    """(keys, claim_no, claim, cited, score, ce_score, keyword_sim, idx)."""
+    keys = list(keys)
+    schema = S.StructType([candidates.schema[k] for k in keys] + S.StructType.fromDDL(CITED).fields)
+    return candidates.groupBy(*keys).applyInPandas(lambda rows: choose(rows, threshold, alpha, limit, keys), schema)
 
 
 def citation(page: Column, node_id: Column) -> Column:
@@ -70,10 +82,10 @@ def with_provenance(cited: DataFrame, index: DataFrame, scope: list[str] | None
     return rows.withColumn("citation", sign).withColumn("cited_text", F.concat_ws(" ", "claim", "citation")).drop("idx")
 
 
-def cite_claims(claims: DataFrame, index: DataFrame, embed: Embedder = hash_embedder, scorer: Scorer = overlap_scorer, threshold: float = C.CITE_THRESHOLD, alpha: float = C.DIVERSITY_ALPHA, limit: int = C.HUB_LIMIT, scope: list[str] | None = None) -> DataFrame:
-    """Every claim with its citation or without; an empty index leaves all uncited, with null scores."""
-    found = cite(score_candidates(claims, index, embed, scorer, scope=scope), threshold, alpha, limit).drop("claim")
-    rows = claims.join(found, ["answer_id", "claim_no"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
+def cite_claims(claims: DataFrame, index: DataFrame, embed: Embedder = hash_embedder, scorer: Scorer = overlap_scorer, threshold: float = C.CITE_THRESHOLD, alpha: float = C.DIVERSITY_ALPHA, limit: int = C.HUB_LIMIT, scope: list[str] | None = None, keys=ANSWER) -> DataFrame:
+    """Every claim of (keys, claim_no, claim) with its citation or without; an empty index leaves all uncited, with null scores."""
+    found = cite(score_candidates(claims, index, embed, scorer, scope=scope, keys=keys), threshold, alpha, limit, keys).drop("claim")
+    rows = claims.join(found, [*keys, "claim_no"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
     return with_provenance(rows, index, scope)
 
 
@@ -88,6 +100,6 @@ def citation_stats(cited: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def sources(cited: DataFrame, key: str = "answer_id") -> DataFrame:
-    """(key, answer, source_pages): cited texts joined, and the sorted distinct pages."""
-    return cited.groupBy(key).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("claim_no", "cited_text"))), lambda x: x["cited_text"])).alias("answer"), F.array_sort(F.collect_set("page")).alias("source_pages"))
+def sources(cited: DataFrame, keys=ANSWER) -> DataFrame:
+    """(keys, answer, source_pages): cited texts joined, and the sorted distinct pages."""
+    return cited.groupBy(*keys).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("claim_no", "cited_text"))), lambda x: x["cited_text"])).alias("answer"), F.array_sort(F.collect_set("page")).alias("source_pages"))

@@ -46,6 +46,6 @@ def query_label(text: Column, top_chunk: Column) -> Column:
     return F.coalesce(F.when(F.length(text) > 0, text), F.substring(top_chunk, 1, 120))
 
 
-def split_claims(answers: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, claim_no, claim) from 1."""
-    return answers.select(key, F.posexplode(T.claims(F.col(text))).alias("__p", "claim")).select(key, (F.col("__p") + 1).alias("claim_no"), "claim")
+def split_claims(answers: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, claim_no, claim) from 1."""
+    return answers.select(*keys, F.posexplode(T.claims(F.col(text))).alias("__p", "claim")).select(*keys, (F.col("__p") + 1).alias("claim_no"), "claim")

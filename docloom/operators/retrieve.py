@@ -1,14 +1,15 @@
 """Rankings, fusion and page scores for batches of queries.
 
 Scores of BM25 come from an equi-join of query terms with postings, so only entries that share a term are touched.
-Dense scores multiply blocks of the index with the matrix of queries inside Arrow batches and keep each block's best,
-so nothing but those leaves a task. Ties go to the smaller index, then to the earlier rank, as stated at each function.
+Dense scores multiply blocks of queries with blocks of the index inside Arrow batches and keep each block's best, so
+nothing but those leaves a task. Ties go to the smaller index, then to the earlier rank, as stated at each function.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +17,13 @@ from .. import constants as C
 from ..functions import text as T
 from ..functions import vectors as V
 from ..plugins import Scorer, as_matrix, overlap_scorer
+from ..storage import materialize
 from .index import Bm25
 
-#: Bytes of query vectors that are sent to every task; larger batches of queries are split and run one after another.
-QUERY_BYTES = 64 << 20
+#: Bytes of query vectors up to which they are sent to every task; more meet the index in a grid of blocks.
+QUERY_BYTES = 8 << 20
+#: Bytes of vectors in a block, and similarities that a task holds at once.
+BLOCK_BYTES, HELD = 8 << 20, 1 << 20
 _DIGITS = 9
 
 
@@ -52,47 +56,96 @@ def floor_and_rank(scores: DataFrame, scope: list[str] | None = None, floor: flo
 def dense_topk(queries: DataFrame, index: DataFrame, most: int) -> DataFrame:
     """(query_id, idx, sim, rank): the ``most`` entries nearest by cosine for each of (query_id, embedding); ties by idx.
 
-    Queries go to the tasks as one matrix of at most ``QUERY_BYTES``; a larger set is dealt out in several passes.
+    Up to ``QUERY_BYTES`` of query vectors are sent to all tasks, and the index stays where it is. Beyond that, both sides
+    are packed into blocks of ``BLOCK_BYTES`` and meet by a join on the bucket of the index block: each block of the index
+    moves once, each of queries to every bucket. Either way a task holds ``HELD`` similarities at once.
     """
-    dim = queries.select(F.max(F.size("embedding"))).first()[0] or 0
-    each = max(1, QUERY_BYTES // max(1, 8 * dim))
-    held: list[tuple[list, np.ndarray]] = []
-    ids: list = []
-    vectors: list = []
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        ids.append(r["query_id"])
-        vectors.append(r["embedding"])
-        if len(ids) == each:
-            held.append((ids, _unit(np.array(vectors, np.float64))))
-            ids, vectors = [], []
-    held.append((ids, _unit(np.array(vectors, np.float64).reshape(len(ids), dim))))
-    out = None
-    for names, matrix in held:
-        part = _nearest(index, names, matrix, most)
-        out = part if out is None else out.union(part)
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), "embedding").where("embedding is not null")
+    entries = index.select(F.col("idx").cast("long").alias("id"), "embedding").where("embedding is not null")
+    size = asked.agg(F.max(F.size("embedding")).alias("dim"), F.count("*").alias("n")).first()
+    dim = size["dim"] or 0
+    if 8 * dim * size["n"] <= QUERY_BYTES:
+        rows = asked.toArrow().combine_chunks()
+        ids = rows["id"].to_numpy()
+        matrix = _unit(as_matrix(rows["embedding"])) if len(ids) else np.zeros((0, dim))
+        sent = index.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows and len(sent.value[0]):
+                    yield _nearest(*sent.value, batch.column(0).to_numpy(zero_copy_only=False), _unit(as_matrix(batch.column(1))), most)
+
+        out = entries.mapInArrow(run, _NEAREST)
+    else:
+        blocks = materialize(_packed(entries, dim), "index")
+        buckets = max(1, -(-blocks.count() // 4))
+        left = materialize(_packed(asked, dim), "queries").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+        right = blocks.select(F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int").alias("bucket"), F.col("ids").alias("their_ids"), F.col("vectors").alias("their_vectors"))
+
+        def meet(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids, vectors, their_ids, their_vectors = (batch.column(k)[i].as_buffer() for k in range(4))
+                    yield _nearest(np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, dim), np.frombuffer(their_ids, np.int64), np.frombuffer(their_vectors).reshape(-1, dim), most)
+
+        out = left.join(right, "bucket").select("ids", "vectors", "their_ids", "their_vectors").mapInArrow(meet, _NEAREST)
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "idx")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+_NEAREST = "query_id long, idx long, sim double"
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(rows, axis=1, keepdims=True) if rows.size else np.ones((len(rows), 1))
     return rows / np.where(size > 0, size, 1)
 
 
-def _nearest(index: DataFrame, names: list, matrix: np.ndarray, most: int) -> DataFrame:
-    sent = index.sparkSession.sparkContext.broadcast((np.array(names, np.int64), matrix))
+def _packed(rows: DataFrame, dim: int) -> DataFrame:
+    """Blocks of (id, embedding) rows: (block, ids, vectors), the vectors of length one, as bytes."""
+    many = max(1, BLOCK_BYTES // (8 * dim))
+
+    def pack(batches):
+        block, ids, vectors, held = TaskContext.get().partitionId() << 33, [], [], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.concatenate(ids).tobytes()]), pa.array([np.concatenate(vectors).tobytes()])], names=["block", "ids", "vectors"])
 
-    def run(batches):
-        names, matrix = sent.value
         for batch in batches:
-            if not batch.num_rows or not len(names):
-                continue
-            idx = batch.column(0).to_numpy(zero_copy_only=False)
-            sim = np.round(matrix @ _unit(as_matrix(batch.column(1))).T, _DIGITS)
-            keep = np.lexsort((np.broadcast_to(idx, sim.shape), -sim), axis=1)[:, :most]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, keep.shape[1])), pa.array(idx[keep].ravel()), pa.array(np.take_along_axis(sim, keep, 1).ravel())], names=["query_id", "idx", "sim"])
-
-    return index.select(F.col("idx").cast("long"), "embedding").where("embedding is not null").mapInArrow(run, "query_id long, idx long, sim double")
+            for at in range(0, batch.num_rows, many):
+                part = batch.slice(at, many)
+                ids.append(part.column(0).to_numpy(zero_copy_only=False))
+                vectors.append(_unit(as_matrix(part.column(1))))
+                held += part.num_rows
+                if held >= many:
+                    yield made()
+                    block, ids, vectors, held = block + 1, [], [], 0
+        if held:
+            yield made()
+
+    return rows.mapInArrow(pack, "block long, ids binary, vectors binary")
+
+
+def _nearest(names: np.ndarray, matrix: np.ndarray, idx: np.ndarray, entries: np.ndarray, most: int) -> pa.RecordBatch:
+    """Each query's ``most`` best of a block of entries; ties by idx."""
+    order = np.argsort(idx, kind="stable")
+    idx, entries = idx[order], entries[order]
+    few = min(most, len(idx))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, HELD // max(1, len(idx)))
+    for at in range(0, len(names), step):
+        sim = np.round(matrix[at : at + step] @ entries.T, _DIGITS)
+        if few < len(idx):
+            least = np.partition(sim, len(idx) - few, axis=1)[:, len(idx) - few]
+            rows, columns = np.nonzero(sim >= least[:, None])  # with all that equal the last
+        else:
+            rows, columns = (x.ravel() for x in np.indices(sim.shape))
+        values = sim[rows, columns]
+        by = np.lexsort((columns, -values, rows))
+        rows, columns, values = rows[by], columns[by], values[by]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < few
+        found.append((names[at + rows[keep]], idx[columns[keep]], values[keep]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "idx", "sim"])
 
 
 def dense_rank(queries: DataFrame, index: DataFrame, scope: list[str]) -> DataFrame:

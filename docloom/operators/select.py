@@ -21,13 +21,13 @@ def mmr_candidates(results: DataFrame, neighbours: DataFrame, nodes: DataFrame,
     """(doc_id, query_id, node_id, is_top_k, seq, query_sim, normalized_score, embedding).
 
     ``results`` (doc_id, query_id, rank, node_id, normalized_score) come first, then new neighbours by id; ``nodes`` have
-    (doc_id, node_id, embedding), ``queries`` (query_id, embedding). A neighbour's score is its place in the range of
+    (doc_id, node_id, embedding), ``queries`` (doc_id, query_id, embedding). A neighbour's score is its place in the range of
     the results' similarities, times 0.9, within 0 and 1.
     """
     top = results.select("doc_id", "query_id", "node_id", F.lit(True).alias("is_top_k"), F.col("rank").cast("int").alias("rank"), "normalized_score")
     new = neighbours.select("doc_id", "query_id", F.col("neighbour_id").alias("node_id")).distinct().join(top.select("doc_id", "query_id", "node_id"), ["doc_id", "query_id", "node_id"], "left_anti")
     every = top.union(new.select("doc_id", "query_id", "node_id", F.lit(False), F.lit(None).cast("int"), F.lit(None).cast("double")))
-    rows = every.join(nodes.where("embedding is not null").select("doc_id", "node_id", "embedding"), ["doc_id", "node_id"]).join(queries.select("query_id", F.col("embedding").alias("__q")), "query_id")
+    rows = every.join(nodes.where("embedding is not null").select("doc_id", "node_id", "embedding"), ["doc_id", "node_id"]).join(queries.select("doc_id", "query_id", F.col("embedding").alias("__q")), ["doc_id", "query_id"])
     rows = rows.withColumn("query_sim", F.round(V.cosine(F.col("__q"), F.col("embedding")), 9)).drop("__q")
     part = Window.partitionBy("doc_id", "query_id")
     own = F.when(F.col("is_top_k"), F.col("query_sim"))

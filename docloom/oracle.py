@@ -59,6 +59,16 @@ _LEVEL = r"""CASE WHEN length(replace(text, ' ', '')) <= 2 OR regexp_full_match(
  WHEN size >= 10.0 + 4 OR (size >= 10.0 + 2 AND bold) THEN 1 WHEN size >= 10.0 + 1.5 AND (bold OR upper) THEN 2
  WHEN bold AND upper AND size >= 10.0 - 0.5 THEN 3 END"""
 
+def _embedded(rows: str, name: str = "embedded") -> str:
+    """(id, vec) of rows (id, text): signed feature hashing of tokens, of length one."""
+    return f"""{name}_t AS (SELECT id, unnest({_tokens('text')}) AS term FROM ({rows})),
+{name}_s AS (SELECT id, bucket, sum(sign) AS v FROM (SELECT id, ('0x' || md5(term)[1:2])::INT % 64 AS bucket, CASE WHEN ('0x' || md5(term)[3:4])::INT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END AS sign FROM {name}_t) GROUP BY ALL),
+{name} AS (
+ SELECT g.id, list((coalesce(v, 0) / CASE WHEN n > 0 THEN n ELSE 1 END)::FLOAT::DOUBLE ORDER BY b) AS vec
+ FROM (SELECT id, b FROM ({rows}), range(64) AS r(b)) g LEFT JOIN {name}_s s ON s.id = g.id AND s.bucket = g.b
+ LEFT JOIN (SELECT id, sqrt(sum(v * v)) AS n FROM {name}_s GROUP BY id) q ON q.id = g.id GROUP BY g.id)"""
+
+
 PARTS = {
     "lines": r"""lines AS (
  SELECT doc_id, (n // 40 + 1)::INT AS page, n AS line_no, t AS text,
@@ -118,6 +128,16 @@ secs AS (
  FROM pages_ LEFT JOIN (SELECT doc_id, page, max(section_no) AS own FROM merged GROUP BY ALL) USING (doc_id, page))""",
     "fchunks": """fchunks AS (
  SELECT *, 'chunk::' || row_number() OVER (PARTITION BY doc_id ORDER BY page, frag_seq) AS chunk_id FROM merged)""",
+    "chunked": """cdist AS (
+ SELECT s.doc_id, s.section_no, s.idx, round(1 - cos, 9) AS d FROM (
+  SELECT s.doc_id, s.section_no, s.idx, coalesce(nullif(list_cosine_similarity(e.vec, lag(e.vec) OVER (PARTITION BY s.doc_id, s.section_no ORDER BY s.idx)), 'NaN'::DOUBLE), 0) AS cos,
+   row_number() OVER (PARTITION BY s.doc_id, s.section_no ORDER BY s.idx) AS n FROM sents s JOIN embedded e ON e.id = (s.doc_id, s.idx)) s WHERE n > 1),
+cborder AS (SELECT *, round(avg(d) OVER p + 1.5 * stddev_pop(d) OVER p, 9) AS lim, count(*) OVER p AS m FROM cdist WINDOW p AS (PARTITION BY doc_id, section_no)),
+craw AS (
+ SELECT s.doc_id, s.section_no, s.idx, s.page, sum(CASE WHEN m > 1 AND d > lim THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id, s.section_no ORDER BY s.idx ROWS UNBOUNDED PRECEDING) AS raw
+ FROM sents s LEFT JOIN cborder USING (doc_id, section_no, idx)),
+cslot AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, section_no, raw ORDER BY idx) - 1) // 8 AS slot FROM craw),
+chunked AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY section_no, raw, slot) AS chunk_no FROM cslot)""",
     "edges": """edges AS (
  SELECT doc_id, 'pdf' AS src, 'page::' || page AS dst, 'HAS_PAGE' AS relation FROM pages_
  UNION ALL SELECT doc_id, 'page::' || page, 'page::' || nxt, 'NEXT_PAGE' FROM plinks UNION ALL SELECT doc_id, 'page::' || nxt, 'page::' || page, 'PREV_PAGE' FROM plinks
@@ -127,7 +147,9 @@ secs AS (
  UNION ALL SELECT doc_id, 'sentence::' || idx, 'page::' || page, 'ON_PAGE' FROM sents
  UNION ALL SELECT doc_id, 'sentence::' || idx, 'sentence::' || nxt, 'NEXT_SENTENCE' FROM slinks UNION ALL SELECT doc_id, 'sentence::' || nxt, 'sentence::' || idx, 'PREV_SENTENCE' FROM slinks
  UNION ALL SELECT doc_id, 'table::' || page || '::0', 'page::' || page, 'ON_PAGE' FROM boxes
- UNION ALL SELECT doc_id, 'table::' || page || '::0', 'section::' || section_no, 'IN_SECTION' FROM boxes JOIN active USING (doc_id, page) WHERE section_no IS NOT NULL)""",
+ UNION ALL SELECT doc_id, 'table::' || page || '::0', 'section::' || section_no, 'IN_SECTION' FROM boxes JOIN active USING (doc_id, page) WHERE section_no IS NOT NULL
+ UNION ALL SELECT DISTINCT doc_id, 'chunk::' || chunk_no, 'section::' || section_no, 'IN_SECTION' FROM chunked
+ UNION ALL SELECT doc_id, 'sentence::' || idx, 'chunk::' || chunk_no, 'PART_OF_CHUNK' FROM chunked)""",
     "links": """plinks AS (SELECT * FROM (SELECT doc_id, page, lead(page) OVER (PARTITION BY doc_id ORDER BY page) AS nxt FROM pages_) WHERE nxt IS NOT NULL),
 slinks AS (SELECT * FROM (SELECT doc_id, idx, lead(idx) OVER (PARTITION BY doc_id, section_no ORDER BY idx) AS nxt FROM sents) WHERE nxt IS NOT NULL)""",
     "docs": "entries AS (SELECT doc_id AS idx, text FROM documents)",
@@ -165,11 +187,11 @@ fracs AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id, node_id) AS fraction F
 }
 
 _SECTION = ("lines", "levelled", "guarded", "frags", "merged")
-_GRAPH = (*_SECTION, "secs", "sents", "pages_", "active", "boxes", "links", "edges")
+_GRAPH = (*_SECTION, "secs", "sents", _embedded("SELECT (doc_id, idx) AS id, text FROM sents"), "chunked", "pages_", "active", "boxes", "links", "edges")
 
 
-def _sql(parts, select: str) -> str:
-    return "WITH " + ",\n".join(PARTS[p] for p in parts) + "\n" + select
+def _sql(parts, select: str, recursive: bool = False) -> str:
+    return "WITH RECURSIVE " * recursive + "WITH " * (not recursive) + ",\n".join(PARTS.get(p, p) for p in parts) + "\n" + select
 
 
 def _negation(x: str) -> str:
@@ -185,6 +207,45 @@ def _negation(x: str) -> str:
 _MARKERS = " ".join(C.NEGATION_MARKERS)
 _CLAIM_TAIL = rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(C.CLAIM_ABBREVIATIONS)})[.]?\s*$"
 
+
+
+def _claims(text: str) -> str:
+    """(answer_id, claim_no, claim) of the assistant's turns."""
+    return rf"""ca AS (SELECT conv_id || '-' || turn AS answer_id, {_split(_strip(text))} AS p FROM conversations WHERE role = 'assistant'),
+cu AS (SELECT answer_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM ca),
+cm AS (SELECT *, sum(CASE WHEN i > 1 AND regexp_matches(prev, '{_CLAIM_TAIL}', 'i') AND regexp_matches(part, '^[\p{{Lu}}\p{{Nd}}]') THEN 0 ELSE 1 END) OVER (PARTITION BY answer_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g
+ FROM (SELECT *, lag(part) OVER (PARTITION BY answer_id ORDER BY i) AS prev FROM cu)),
+claims AS (SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY g) AS claim_no, claim FROM (SELECT answer_id, g, {_strip("string_agg(part, ' ' ORDER BY i)")} AS claim FROM cm GROUP BY ALL) WHERE length(claim) > 0)"""
+
+
+#: One step of a walk takes the best candidate given those taken before.
+_MMR = (
+    """cand AS MATERIALIZED (SELECT query_id, idx, rank AS seq, sim, embedding::DOUBLE[] AS e FROM dranked JOIN embeddings ON vec_id = idx WHERE rank <= 30)""",
+    """near AS MATERIALIZED (SELECT a.query_id, a.idx AS a, b.idx AS b, list_cosine_similarity(a.e, b.e) AS c FROM cand a JOIN cand b USING (query_id))""",
+    f"""walk AS (SELECT query_id, 0 AS k, []::BIGINT[] AS taken, 0::BIGINT AS idx, 0::DOUBLE AS sim, 0::DOUBLE AS score FROM cand GROUP BY query_id
+ UNION ALL SELECT query_id, k + 1, list_append(taken, idx), idx, sim, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seq) AS r FROM (
+   SELECT w.query_id, w.k, w.taken, c.idx, c.seq, c.sim, {C.MMR_LAMBDA} * c.sim - coalesce({1 - C.MMR_LAMBDA} * max(n.c), 0) AS score
+   FROM walk w JOIN cand c ON c.query_id = w.query_id AND NOT list_contains(w.taken, c.idx) LEFT JOIN near n ON n.query_id = c.query_id AND n.a = c.idx AND list_contains(w.taken, n.b)
+   WHERE w.k < {C.MMR_BUDGET} GROUP BY w.query_id, w.k, w.taken, c.idx, c.seq, c.sim)) WHERE r = 1)""",
+)
+_CITED = (
+    _claims("text"),
+    _embedded("SELECT (answer_id, claim_no) AS id, claim AS text FROM claims", "cvec"),
+    _embedded("SELECT doc_id AS id, text FROM documents", "dvec"),
+    f"""best AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY sim DESC, idx) AS cand_no FROM (
+ SELECT c.id AS cid, d.id AS idx, round(coalesce(nullif(list_cosine_similarity(c.vec, d.vec), 'NaN'::DOUBLE), 0), 9) AS sim FROM cvec c, dvec d) QUALIFY cand_no <= {C.CITE_CANDIDATES})""",
+    f"""kclaim AS (SELECT answer_id, claim_no, claim, {_keywords('claim')} AS ck FROM claims), kdoc AS (SELECT doc_id AS idx, {_keywords('text')} AS ek FROM documents)""",
+    f"""cand AS MATERIALIZED (SELECT answer_id, claim_no, cand_no, idx, kw, ce, round(ce + kw * {C.KEYWORD_WEIGHT}, 9) AS combined FROM (
+ SELECT *, 1 / (1 + exp(1 - 6 * kw)) AS ce FROM (SELECT answer_id, claim_no, cand_no, idx, {_jaccard('ck', 'ek')} AS kw FROM best JOIN kclaim k ON cid = (k.answer_id, k.claim_no) JOIN kdoc USING (idx))))""",
+    f"""walk AS (SELECT answer_id, 0::BIGINT AS claim_no, []::BIGINT[] AS seen, 0::DOUBLE AS top, 0::BIGINT AS idx, 0::DOUBLE AS ce, 0::DOUBLE AS kw FROM claims GROUP BY answer_id
+ UNION ALL SELECT answer_id, claim_no, CASE WHEN top >= {C.CITE_THRESHOLD} THEN list_append(seen, idx) ELSE seen END, top, idx, ce, kw FROM (
+  SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY top DESC, cand_no) AS r FROM (
+   SELECT answer_id, claim_no, seen, idx, ce, kw, cand_no, CASE WHEN m >= {C.HUB_LIMIT} THEN -1.0 ELSE combined / (1 + {C.DIVERSITY_ALPHA} * m) END AS top
+   FROM (SELECT c.*, w.seen, len(list_filter(w.seen, lambda s: s = c.idx)) AS m FROM walk w JOIN cand c ON c.answer_id = w.answer_id AND c.claim_no = w.claim_no + 1)
+  )) WHERE r = 1)""",
+)
+
 ORACLE: dict[str, str] = {
     "clean_text": rf"SELECT doc_id, {_clean(r"regexp_replace(text, '((?:[^ ]* ){9}[^ ]*) ', '\1-' || chr(10), 'g')")} AS text FROM documents",
     "split_sentences": f"SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents)",
@@ -221,17 +282,19 @@ SELECT doc_id, bucket, round((v / n)::FLOAT::DOUBLE, 5) AS value FROM (SELECT *,
     "sentence_links": _sql((*_SECTION, "sents"), """SELECT doc_id, 'sentence::' || a AS src, 'sentence::' || b AS dst, relation FROM (
  SELECT doc_id, idx AS a, lead(idx) OVER (PARTITION BY doc_id, section_no ORDER BY idx) AS b, 'NEXT_SENTENCE' AS relation FROM sents
  UNION ALL SELECT doc_id, idx, lag(idx) OVER (PARTITION BY doc_id, section_no ORDER BY idx), 'PREV_SENTENCE' FROM sents) WHERE b IS NOT NULL"""),
-    "semantic_chunks": """WITH d AS (SELECT label, vec_id AS idx, 1 - list_cosine_similarity(embedding::DOUBLE[], lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[]) AS d FROM embeddings),
-b AS (SELECT *, count(*) OVER p > 2 AND d > avg(d) OVER p + 1.5 * stddev_pop(d) OVER p AS cut FROM d WINDOW p AS (PARTITION BY label)),
+    "semantic_chunks": """WITH d AS (SELECT label, vec_id AS idx, round(1 - list_cosine_similarity(embedding::DOUBLE[], lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[]), 9) AS d FROM embeddings),
+b AS (SELECT *, count(*) OVER p > 2 AND d > round(avg(d) OVER p + 1.5 * stddev_pop(d) OVER p, 9) AS cut FROM d WINDOW p AS (PARTITION BY label)),
 r AS (SELECT *, sum(coalesce(cut, false)::INT) OVER (PARTITION BY label ORDER BY idx ROWS UNBOUNDED PRECEDING) AS raw FROM b),
 s AS (SELECT *, (row_number() OVER (PARTITION BY label, raw ORDER BY idx) - 1) // 8 AS slot FROM r)
 SELECT label, idx, dense_rank() OVER (PARTITION BY label ORDER BY raw, slot) - 1 AS chunk_in_part FROM s""",
     "graph_type_counts": _sql(_GRAPH, """SELECT 'PDF' AS type, count(*) AS n FROM documents UNION ALL SELECT 'Page', count(*) FROM pages_ UNION ALL SELECT 'Section', count(*) FROM secs
- UNION ALL SELECT 'Sentence', count(*) FROM sents UNION ALL SELECT 'Table', count(*) FROM boxes"""),
+ UNION ALL SELECT 'Sentence', count(*) FROM sents UNION ALL SELECT 'Table', count(*) FROM boxes
+ UNION ALL SELECT 'SemanticChunk', count(*) FROM (SELECT DISTINCT doc_id, chunk_no FROM chunked)"""),
     "graph_relation_counts": _sql(_GRAPH, "SELECT relation, count(*) AS n FROM edges GROUP BY relation"),
     "induced_subgraph": _sql(_GRAPH, """, allnodes AS (
  SELECT doc_id, 'pdf' AS node, 0 AS k, 0 AS o FROM documents UNION ALL SELECT doc_id, 'page::' || page, 1, page FROM pages_ UNION ALL SELECT doc_id, section_id, 2, section_no FROM secs
- UNION ALL SELECT doc_id, 'sentence::' || idx, 3, idx FROM sents UNION ALL SELECT doc_id, 'table::' || page || '::0', 4, page * 10000 FROM boxes),
+ UNION ALL SELECT doc_id, 'sentence::' || idx, 3, idx FROM sents UNION ALL SELECT doc_id, 'table::' || page || '::0', 4, page * 10000 FROM boxes
+ UNION ALL SELECT DISTINCT doc_id, 'chunk::' || chunk_no, 5, chunk_no FROM chunked),
 few AS (SELECT doc_id, node FROM allnodes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k, o) <= 12)
 SELECT relation, count(*) AS n FROM edges e WHERE (doc_id, src) IN (SELECT (doc_id, node) FROM few) AND (doc_id, dst) IN (SELECT (doc_id, node) FROM few) GROUP BY relation"""),
     "term_stats": _sql(("docs", "bm25"), "SELECT term, df, round(idf, 6) AS idf FROM terms"),
@@ -264,18 +327,21 @@ SELECT *, round((score - min(score) OVER w) / CASE WHEN max(score) OVER w > min(
     "neighbourhood": _sql((*_SECTION, "secs", "fchunks"), """SELECT a.doc_id, 1 AS query_id, a.chunk_id AS origin_id, b.chunk_id AS neighbour_id FROM fchunks a JOIN fchunks b ON a.doc_id = b.doc_id AND a.section_no = b.section_no AND a.chunk_id <> b.chunk_id
  UNION SELECT a.doc_id, 1, a.chunk_id, b.chunk_id FROM fchunks a JOIN secs s ON s.doc_id = a.doc_id AND s.section_no = a.section_no
  JOIN secs t ON t.doc_id = s.doc_id AND t.parent_no = s.parent_no AND t.section_no <> s.section_no JOIN fchunks b ON b.doc_id = t.doc_id AND b.section_no = t.section_no"""),
-    "sentence_window": """WITH p AS (SELECT a.vec_id AS o, b.vec_id AS n, abs(a.vec_id - b.vec_id) AS far, b.vec_id > a.vec_id AS side, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) >= 0 AS near
- FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-SELECT 0 AS doc_id, 1 AS query_id, 'chunk::' || o AS origin_id, 'chunk::' || n AS neighbour_id FROM (SELECT *, bool_and(near) OVER (PARTITION BY o, side ORDER BY far ROWS UNBOUNDED PRECEDING) AS ok FROM p) WHERE ok""",
+    "sentence_window": _sql(("lines", "cut", _embedded("SELECT (doc_id, idx) AS id, text FROM cut")), f""", p AS (
+ SELECT a.doc_id, a.idx AS o, b.idx AS n, abs(a.idx - b.idx) AS far, b.idx > a.idx AS side, round(coalesce(nullif(list_cosine_similarity(x.vec, y.vec), 'NaN'::DOUBLE), 0), 9) >= {C.WINDOW_SIMILARITY} AS near
+ FROM cut a JOIN cut b ON a.doc_id = b.doc_id AND a.page = b.page AND a.idx <> b.idx JOIN embedded x ON x.id = (a.doc_id, a.idx) JOIN embedded y ON y.id = (b.doc_id, b.idx))
+SELECT doc_id, 1 AS query_id, 'chunk::' || o AS origin_id, 'chunk::' || n AS neighbour_id
+FROM (SELECT *, bool_and(near) OVER (PARTITION BY doc_id, o, side ORDER BY far ROWS UNBOUNDED PRECEDING) AS ok FROM p) WHERE ok"""),
     "assemble_context": _sql(("lines", "cut", "cchunks"), f""", item AS (SELECT doc_id, chunk_no, CASE WHEN chunk_no % 3 = 0 THEN 'Alpha' WHEN chunk_no % 3 = 1 THEN 'General' ELSE 'Beta' END AS s, {_strip('context')} AS t FROM cchunks),
 said AS (SELECT *, {_strip(f"(CASE WHEN length(t) > {C.CONTEXT_CHARS} THEN t[1:{C.CONTEXT_CHARS}] || '...' ELSE t END || CASE WHEN chunk_no % 4 > 0 THEN ' (p.' || chunk_no || ')' ELSE '' END)")} AS line FROM item),
 grp AS (SELECT doc_id, min(chunk_no) AS o, '[' || s || ']' || chr(10) || string_agg(line, chr(10) ORDER BY chunk_no) AS b FROM said GROUP BY doc_id, s)
 SELECT doc_id, {_strip("string_agg(b, chr(10) || chr(10) ORDER BY o)")} AS context FROM grp GROUP BY doc_id"""),
-    "split_claims": f"""WITH a AS (SELECT conv_id || '-' || turn AS answer_id, {_split(_strip("text || ' See Fig. 3 of Dr. Who. And so on.'"))} AS p FROM conversations WHERE role = 'assistant'),
-u AS (SELECT answer_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM a),
-m AS (SELECT *, sum(CASE WHEN i > 1 AND regexp_matches(prev, '{_CLAIM_TAIL}', 'i') AND regexp_matches(part, '^[\\p{{Lu}}\\p{{Nd}}]') THEN 0 ELSE 1 END) OVER (PARTITION BY answer_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g
- FROM (SELECT *, lag(part) OVER (PARTITION BY answer_id ORDER BY i) AS prev FROM u))
-SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY g) AS claim_no, claim FROM (SELECT answer_id, g, {_strip("string_agg(part, ' ' ORDER BY i)")} AS claim FROM m GROUP BY ALL) WHERE length(claim) > 0""",
+    "split_claims": _sql((_claims("text || ' See Fig. 3 of Dr. Who. And so on.'"),), "SELECT answer_id, claim_no, claim FROM claims"),
+    "mmr_select": _sql(("dense", *_MMR), "SELECT query_id, k AS mmr_rank, 'v' || idx AS node_id, round(sim, 6) AS query_sim, round(score, 6) AS mmr_score FROM walk WHERE k > 0", recursive=True),
+    "cite_claims": _sql(_CITED, f"""SELECT answer_id, claim_no, top >= {C.CITE_THRESHOLD} AS cited, printf('%.4f', top)::DOUBLE AS score, printf('%.4f', ce)::DOUBLE AS ce_score, printf('%.4f', kw)::DOUBLE AS keyword_sim,
+ CASE WHEN top >= {C.CITE_THRESHOLD} THEN 'doc::' || idx END AS matched_node, CASE WHEN top >= {C.CITE_THRESHOLD} THEN '[p. 1]' END AS citation FROM walk WHERE claim_no > 0""", recursive=True),
+    "cited_sources": _sql(_CITED, f"""SELECT answer_id, string_agg(claim || CASE WHEN top >= {C.CITE_THRESHOLD} THEN ' [p. 1]' ELSE '' END, ' ' ORDER BY claim_no) AS answer,
+ CASE WHEN bool_or(top >= {C.CITE_THRESHOLD}) THEN '1' ELSE '' END AS source_pages FROM walk JOIN claims USING (answer_id, claim_no) GROUP BY answer_id""", recursive=True),
     "keyword_jaccard": _sql(("turns",), "SELECT conv_id, turn, round(jaccard, 9) AS jaccard FROM turns"),
     "citation_stats": _sql(("turns",), """SELECT conv_id, count(*) AS total_claims, count(*) FILTER (jaccard >= 0.02) AS n_cited, count(*) FILTER (jaccard < 0.02) AS uncited, round(count(*) FILTER (jaccard >= 0.02) / count(*), 4) AS cite_rate,
  round(avg(jaccard), 4) AS mean_score, round(min(jaccard), 4) AS min_score, round(max(jaccard), 4) AS max_score, round(avg(jaccard) FILTER (turn % 2 = 0), 4) AS mean_ce_score, round(avg(jaccard), 4) AS mean_keyword_sim FROM turns GROUP BY conv_id"""),

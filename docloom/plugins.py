@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import html
-import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -30,20 +29,40 @@ Scorer = Callable[[Column, Column], Column]
 Generator = Callable[[Column, Column], Column]
 
 
-def hash_vector(text: str | None) -> list[float]:
-    """Signed feature hashing of tokens by md5, of length one."""
-    out = [0.0] * DIMENSION
-    for token in _TOKEN.findall((text or "").lower()):
-        digest = hashlib.md5(token.encode()).digest()
-        out[digest[0] % DIMENSION] += 1.0 if digest[1] % 2 else -1.0
-    size = math.sqrt(sum(x * x for x in out))
-    return [x / size for x in out] if size else out
+_MEMO = 200_000
+
+
+class _Hasher:
+    """Signed feature hashing of tokens by md5; each distinct token is hashed once as long as the memo holds it."""
+
+    def __init__(self):
+        self.places: dict[str, int] = {}
+
+    def place(self, token: str) -> int:
+        """Twice the bucket, and one more for a positive sign."""
+        out = self.places.get(token)
+        if out is None:
+            if len(self.places) >= _MEMO:
+                self.places.clear()
+            digest = hashlib.md5(token.encode()).digest()
+            out = self.places[token] = 2 * (digest[0] % DIMENSION) + digest[1] % 2
+        return out
+
+    def vectors(self, texts: list[str | None]) -> np.ndarray:
+        """A row of length one for each text, of zeros for one without tokens."""
+        found = [_TOKEN.findall((t or "").lower()) for t in texts]
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        place = np.fromiter((self.place(t) for x in found for t in x), np.int64, len(row))
+        sums = np.bincount(row * DIMENSION + place // 2, place % 2 * 2.0 - 1, len(texts) * DIMENSION).reshape(-1, DIMENSION)
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        return (sums / np.where(size > 0, size, 1)).astype(np.float32)
 
 
 @pandas_udf(ArrayType(FloatType()))
 def _hash_embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    hasher = _Hasher()
     for batch in batches:
-        yield batch.map(hash_vector)
+        yield pd.Series(list(hasher.vectors(batch.tolist())), index=batch.index, dtype=object)
 
 
 def hash_embedder(text: Column) -> Column:
@@ -52,7 +71,17 @@ def hash_embedder(text: Column) -> Column:
 
 def overlap_scorer(query: Column, text: Column) -> Column:
     """A logit from shared keywords: 6 times their Jaccard similarity, less 1."""
-    return 6 * T.keyword_jaccard(T.keywords(query), T.keywords(text)) - 1
+    return overlap_scorer.compare(T.keywords(query), T.keywords(text))
+
+
+#: A scorer may say what it needs of a text alone (``prepare``) and compare two of those, so that each text is read once.
+overlap_scorer.prepare = T.keywords
+overlap_scorer.compare = lambda query, text: 6 * T.keyword_jaccard(query, text) - 1
+
+
+def prepared(scorer: Scorer) -> tuple[Callable[[Column], Column], Scorer]:
+    """(what a scorer needs of one text, the logit of two of those)."""
+    return getattr(scorer, "prepare", lambda text: text), getattr(scorer, "compare", scorer)
 
 
 def extractive_generator(query: Column, texts: Column) -> Column:

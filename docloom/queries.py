@@ -173,18 +173,18 @@ def corpus_graph(spark: SparkSession, sf_dir: str) -> engine.Graph:
 
 @query
 def graph_type_counts(spark, sf_dir):
-    return graph.type_counts(corpus_graph(spark, sf_dir).nodes().where("type <> 'SemanticChunk'"))
+    return graph.type_counts(corpus_graph(spark, sf_dir).nodes())
 
 
 @query
 def graph_relation_counts(spark, sf_dir):
-    return corpus_graph(spark, sf_dir).edges().where("relation <> 'PART_OF_CHUNK' and src not like 'chunk::%'").groupBy("relation").agg(F.count("*").alias("n"))
+    return corpus_graph(spark, sf_dir).edges().groupBy("relation").agg(F.count("*").alias("n"))
 
 
 @query
 def induced_subgraph(spark, sf_dir):
     g = corpus_graph(spark, sf_dir)
-    _, inside = graph.induced_subgraph(g.nodes().where("type <> 'SemanticChunk'"), g.edges(), 12)
+    _, inside = graph.induced_subgraph(g.nodes(), g.edges(), 12)
     return inside.groupBy("relation").agg(F.count("*").alias("n"))
 
 
@@ -341,8 +341,11 @@ def neighbourhood(spark, sf_dir):
 
 @query
 def sentence_window(spark, sf_dir):
-    rows = fixtures.vectors(spark, sf_dir).select(F.lit(0).alias("doc_id"), F.col("label").alias("section_no"), F.col("idx").alias("chunk_no"), F.concat(F.lit("chunk::"), "idx").alias("chunk_id"), "embedding")
-    return expand.window(_origins(rows.where("chunk_no % 50 = 0")), rows, 0.0)
+    """Every filled line, walked from within its page."""
+    cut = fixtures.cut(_docs(spark, sf_dir))
+    rows = cut.select("doc_id", F.col("page").alias("section_no"), F.col("idx").alias("chunk_no"), F.concat(F.lit("chunk::"), "idx").alias("chunk_id"), plugins.hash_embedder(F.col("text")).alias("embedding"))
+    rows = materialize(rows, "lines")
+    return expand.window(_origins(rows), rows)
 
 
 def _mmr_candidates(spark, sf_dir):
@@ -389,7 +392,7 @@ def citation_stats(spark, sf_dir):
 
 
 def _cited(spark, sf_dir):
-    turns = _assistant(spark, sf_dir).select(F.xxhash64("conv_id", "turn").alias("answer_id"), "text")
+    turns = _assistant(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("answer_id"), "text")
     claims = generate.split_claims(turns, "answer_id")
     entries = _docs(spark, sf_dir).select(F.col("doc_id").alias("idx"), F.concat(F.lit("doc::"), "doc_id").alias("node_id"), "text", F.lit(1).alias("page"), F.col("source").alias("section"), plugins.hash_embedder(F.col("text")).alias("embedding"))
     return cite.cite_claims(claims, entries)
@@ -402,7 +405,7 @@ def cite_claims(spark, sf_dir):
 
 @query
 def cited_sources(spark, sf_dir):
-    return cite.sources(_cited(spark, sf_dir))
+    return cite.sources(_cited(spark, sf_dir)).withColumn("source_pages", F.array_join(F.col("source_pages").cast("array<string>"), ","))
 
 
 @query

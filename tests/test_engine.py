@@ -222,7 +222,7 @@ def test_demo_search_answer_and_bundle(spark, demo, tmp_path):
     assert "Query:" in render.result_text(found.results).first()["text"]
     assert render.result_html(found.results).where("html like '%result%'").count() == len(rows)
     claims = said.claims.collect()
-    assert claims and {c.answer_id for c in claims} == {1, 2}
+    assert claims and {(c.doc_id, c.query_id) for c in claims} == {(1, 1), (1, 2)}
     assert all(c.citation == f"[p. {c.page}]" for c in claims if c.cited)
     assert said.stats.where("total_claims <> n_cited + uncited").count() == 0
     assert said.sources.count() == 2 and render.answer_html(said.claims).count() == 2
@@ -239,6 +239,49 @@ def test_demo_search_answer_and_bundle(spark, demo, tmp_path):
     assert store.delete(spark, folder, str(tmp_path)) and store.load(spark, folder) is None
 
 
+def test_one_query_put_to_two_documents(spark):
+    parts = [S.demo_fragments(spark, d) for d in (1, 2)]
+    documents, fragments, tables = (a.union(b) for a, b in zip(*parts, strict=True))
+    both = engine.build(documents, fragments.select("doc_id", "page"), fragments, S.raw_tables(tables))
+    asked = spark.createDataFrame([(d, 1, "thermal and chemical resistance") for d in (1, 2)], "doc_id long, query_id long, text string")
+    _, said = engine.ask(both, asked)
+    assert said.answers.count() == said.sources.count() == said.stats.count() == 2
+    for rows, names in ((said.chosen, ("node_id",)), (said.claims, ("claim_no",))):
+        got = [(r.doc_id, r.query_id, *(r[n] for n in names)) for r in rows.collect()]
+        assert len(got) == len(set(got)) and {g[0] for g in got} == {1, 2}
+    # the copies are alike, and so are their answers
+    assert len({r.answer for r in said.answers.collect()}) == 1
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_dense_topk_in_a_grid_of_blocks(spark, monkeypatch, sent):
+    monkeypatch.setattr(retrieve, "QUERY_BYTES", sent)
+    monkeypatch.setattr(retrieve, "BLOCK_BYTES", 8 * 6 * 10)  # ten vectors a block
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-2, 3, (90, 6)).astype(float)  # many ties, and vectors without length
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "idx long, embedding array<float>").repartition(4)
+    asked = df.where("idx % 3 = 0").select(F.col("idx").alias("query_id"), "embedding")
+    got = {(r.query_id, r["rank"]): r.idx for r in retrieve.dense_topk(asked, df, 7).collect()}
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = vectors / np.where(size > 0, size, 1)
+    for q in range(0, 90, 3):
+        assert [got[q, k + 1] for k in range(7)] == np.lexsort((np.arange(90), -np.round(unit @ unit[q], 9)))[:7].tolist()
+
+
+def test_hash_embedding_by_token():
+    import hashlib
+
+    texts = ["a b a", None, "", "Über-cool x_1 " * 40]
+    got = plugins._Hasher().vectors(texts)
+    for t, v in zip(texts, got, strict=True):
+        want = np.zeros(plugins.DIMENSION)
+        for token in plugins._TOKEN.findall((t or "").lower()):
+            digest = hashlib.md5(token.encode()).digest()
+            want[digest[0] % plugins.DIMENSION] += 1 if digest[1] % 2 else -1
+        size = np.linalg.norm(want)
+        assert np.allclose(v, want / size if size else want)
+
+
 def test_files_and_streaming(spark, tmp_path):
     from docloom.streaming.ingest import ingest, stream_files
 
