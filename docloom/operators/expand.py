@@ -9,6 +9,11 @@ from .. import constants as C
 from ..functions import vectors as V
 
 
+def boundary_sentences(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, first_sentence, last_sentence): where a chunk begins and ends."""
+    return chunks.select("doc_id", "chunk_id", F.concat(F.lit("sentence::"), "first_idx").alias("first_sentence"), F.concat(F.lit("sentence::"), "last_idx").alias("last_sentence"))
+
+
 def siblings(origins: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc_id, query_id, origin_id, neighbour_id): other chunks of the origin's section."""
     home = chunks.select("doc_id", F.col("chunk_id").alias("origin_id"), "section_no")

@@ -32,13 +32,17 @@ def prompt(query: Column, context: Column) -> Column:
 
 
 def answers(chosen: DataFrame, queries: DataFrame, backend: str = "extractive") -> DataFrame:
-    """(doc_id, query_id, query, prompt, answer); a query without chosen chunks is told so. Unknown backends raise ``ValueError``."""
+    """(doc_id, query_id, query, prompt, answer); a query without chosen chunks is told so. Unknown backends raise ``ValueError``.
+
+    A query without text goes by the beginning of its best chunk.
+    """
     make = plugins.generator(backend)
     context = assemble_context(chosen, ["doc_id", "query_id"])
     texts = chosen.groupBy("doc_id", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("mmr_rank", "text"))), lambda x: x["text"]).alias("__t"))
-    rows = queries.select("doc_id", "query_id", F.col("text").alias("query")).join(context, ["doc_id", "query_id"], "left").join(texts, ["doc_id", "query_id"], "left")
-    answer = F.when(F.col("__t").isNull(), F.lit("No relevant passages were found.")).otherwise(make(F.col("query"), F.col("__t")))
-    return rows.select("doc_id", "query_id", "query", prompt(F.col("query"), F.coalesce("context", F.lit(""))).alias("prompt"), answer.alias("answer"))
+    rows = queries.select("doc_id", "query_id", "text").join(context, ["doc_id", "query_id"], "left").join(texts, ["doc_id", "query_id"], "left")
+    rows = rows.withColumn("query", query_label(F.col("text"), F.get("__t", 0))).withColumn("prompt", prompt(F.coalesce("query", F.lit("")), F.coalesce("context", F.lit(""))))
+    answer = F.when(F.col("__t").isNull(), F.lit("No relevant passages were found.")).otherwise(make(F.col("prompt"), F.col("__t")))
+    return rows.select("doc_id", "query_id", "query", "prompt", answer.alias("answer"))
 
 
 def query_label(text: Column, top_chunk: Column) -> Column:

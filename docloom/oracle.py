@@ -246,6 +246,9 @@ _CITED = (
   )) WHERE r = 1)""",
 )
 
+#: The entities that the pages hold, the ampersand last.
+_ENTITIES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
 ORACLE: dict[str, str] = {
     "clean_text": rf"SELECT doc_id, {_clean(r"regexp_replace(text, '((?:[^ ]* ){9}[^ ]*) ', '\1-' || chr(10), 'g')")} AS text FROM documents",
     "split_sentences": f"SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents)",
@@ -273,6 +276,12 @@ SELECT doc_id, bucket, round((v / n)::FLOAT::DOUBLE, 5) AS value FROM (SELECT *,
  (SELECT text FROM lines l WHERE l.doc_id = d.doc_id AND page = 1 ORDER BY size DESC, line_no LIMIT 1), '') END AS title FROM documents d"""),
     "reference_guard": _sql(("lines", "levelled", "guarded"), "SELECT doc_id, line_no FROM guarded"),
     "section_fragments": _sql(_SECTION[:4], "SELECT doc_id, page, frag_seq, heading, level, array_to_string(sentences, '|') AS sentences FROM frags"),
+    "extracted_sections": _sql(("lines", "words", "hist", "cols", "assembled", "boxes", f"""bodies AS (SELECT doc_id, page, col, s AS body
+ FROM (SELECT doc_id, page, col, round(size, 1) AS s, count(*) AS n, min(line_no) AS seen FROM assembled GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id, page, col ORDER BY n DESC, seen) = 1),
+levelled AS (
+ SELECT doc_id, page, text, {_LEVEL.replace("10.0", "body")} AS level, row_number() OVER (PARTITION BY doc_id ORDER BY page, col, line_no) AS seq
+ FROM assembled a JOIN bodies USING (doc_id, page, col) WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.doc_id = a.doc_id AND b.page = a.page AND (y_top + y_bot) / 2 BETWEEN y0 AND y1))""", "guarded", "frags"),
+        "SELECT doc_id, page, frag_seq, heading, level, array_to_string(sentences, '|') AS sentences FROM frags"),
     "section_merge": _sql(_SECTION, "SELECT doc_id, page, frag_seq, section_no FROM merged"),
     "section_hierarchy": _sql((*_SECTION, "secs"), "SELECT * FROM secs"),
     "active_section": _sql((*_SECTION, "pages_", "active"), "SELECT * FROM active"),
@@ -345,6 +354,12 @@ SELECT doc_id, {_strip("string_agg(b, chr(10) || chr(10) ORDER BY o)")} AS conte
     "keyword_jaccard": _sql(("turns",), "SELECT conv_id, turn, round(jaccard, 9) AS jaccard FROM turns"),
     "citation_stats": _sql(("turns",), """SELECT conv_id, count(*) AS total_claims, count(*) FILTER (jaccard >= 0.02) AS n_cited, count(*) FILTER (jaccard < 0.02) AS uncited, round(count(*) FILTER (jaccard >= 0.02) / count(*), 4) AS cite_rate,
  round(avg(jaccard), 4) AS mean_score, round(min(jaccard), 4) AS min_score, round(max(jaccard), 4) AS max_score, round(avg(jaccard) FILTER (turn % 2 = 0), 4) AS mean_ce_score, round(avg(jaccard), 4) AS mean_keyword_sim FROM turns GROUP BY conv_id"""),
+    "web_lines": rf"""WITH b AS (SELECT page_id AS doc_id, unnest(x) AS b, generate_subscripts(x, 1) - 1 AS line_no FROM (
+ SELECT page_id, regexp_extract_all(html, '(?is){"|".join(f"<{t}[^>]*>.*?</{t}>" for t in ("h1", "h2", "h3", "h4", "h5", "h6", "p"))}') AS x FROM pages)),
+t AS (SELECT doc_id, line_no, lower(regexp_extract(b, '^<([A-Za-z]+[1-6]?)', 1)) AS tag,
+ trim(regexp_replace({_ENTITIES.format("regexp_replace(b, '<[^>]+>', '', 'g')")}, '\s+', ' ', 'g')) AS text FROM b),
+s AS (SELECT doc_id, line_no, tag, CASE tag WHEN 'h1' THEN 16.0 WHEN 'h2' THEN 12.0 ELSE 10.0 END::DOUBLE AS size, CASE WHEN tag NOT IN ('h1', 'h2', 'p') THEN upper(text) ELSE text END AS text FROM t WHERE text <> '')
+SELECT doc_id, 1 AS page, 0 AS col, line_no, text, size, tag <> 'p' AS bold, upper(text) = text AND regexp_matches(text, '\p{{L}}') AS upper, 14.0::DOUBLE * line_no AS y_top, 14.0::DOUBLE * line_no + 10 AS y_bot FROM s""",
     "event_window_totals": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
 for _name in ("induced_subgraph", "result_assembly", "assemble_context"):

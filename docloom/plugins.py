@@ -1,6 +1,6 @@
 """Models as plug-ins, with deterministic defaults that need no network.
 
-An embedder maps a text column to ``array<float>``; a scorer maps (query, text) to a logit; a generator maps (query,
+An embedder maps a text column to ``array<float>``; a scorer maps (query, text) to a logit; a generator maps (prompt,
 chosen texts) to an answer; a parser maps file bytes to words or lines. A learned model replaces a default by a
 ``pandas_udf`` of the same shape, loaded once for each Python worker.
 """
@@ -8,8 +8,11 @@ chosen texts) to an answer; a parser maps file bytes to words or lines. A learne
 from __future__ import annotations
 
 import hashlib
-import html
+import html.entities
+import json
 import re
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -84,44 +87,89 @@ def prepared(scorer: Scorer) -> tuple[Callable[[Column], Column], Scorer]:
     return getattr(scorer, "prepare", lambda text: text), getattr(scorer, "compare", scorer)
 
 
-def extractive_generator(query: Column, texts: Column) -> Column:
+def extractive_generator(prompt: Column, texts: Column) -> Column:
     """The first sentence of each chosen text."""
     return F.array_join(F.filter(F.transform(texts, lambda t: F.get(T.sentences(t), 0)), lambda s: s.isNotNull()), " ")
 
 
+def http_generator(url: str, model: str, tokens: int = 512, temperature: float = 0.1, timeout: float = 120.0) -> Generator:
+    """Answers of a model behind ``url``: a POST of model, prompt and options as JSON; the answer is its ``response``."""
+
+    @pandas_udf("string")
+    def ask(prompts: pd.Series) -> pd.Series:
+        def one(prompt: str) -> str:
+            body = {"model": model, "prompt": prompt, "stream": False, "options": {"temperature": temperature, "num_predict": tokens}}
+            request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"}, method="POST")
+            try:
+                with urllib.request.urlopen(request, timeout=timeout) as reply:
+                    return json.loads(reply.read()).get("response", "").strip()
+            except urllib.error.HTTPError as e:
+                raise RuntimeError(f"the generator at {url} failed: {e.read().decode(errors='replace')[:500] or e}") from e
+            except urllib.error.URLError as e:
+                raise RuntimeError(f"no generator answers at {url}: {e.reason}") from e
+
+        return prompts.map(one)
+
+    return lambda prompt, texts: ask(prompt)
+
+
+def local_generator(load: Callable[[], Callable[[list[str]], list[str]]]) -> Generator:
+    """Answers of a model in the Python workers: ``load`` runs once in each and returns a function of prompts."""
+    held: list = []
+
+    @pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            if not held:
+                held.append(load())
+            yield pd.Series(held[0](prompts.tolist()), index=prompts.index, dtype=object)
+
+    return lambda prompt, texts: ask(prompt)
+
+
 GENERATORS: dict[str, Generator] = {"extractive": extractive_generator}
 
 
+def register(name: str, made: Generator) -> None:
+    """Offer a generator by name."""
+    GENERATORS[name] = made
+
+
 def generator(name: str) -> Generator:
     if name not in GENERATORS:
         raise ValueError(f"unknown generator {name!r}; registered: {', '.join(sorted(GENERATORS))}")
     return GENERATORS[name]
 
 
-_BLOCK = re.compile(r"<(h[1-6]|p)[^>]*>(.*?)</\1>", re.I | re.S)
-_TAG = re.compile(r"<[^>]+>")
-LINES = "doc_id long, page int, col int, line_no int, text string, size double, bold boolean, upper boolean, y_top double, y_bot double"
+_BLOCK = "(?is)" + "|".join(rf"<{tag}[^>]*>.*?</{tag}>" for tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p"))
+_NAMES = {f"&{k};": chr(v) for k, v in html.entities.name2codepoint.items()} | {"&apos;": "'"}
+
+
+def unescape(text: Column) -> Column:
+    """Named entities of HTML 4 and numbered ones, in one pass; anything else stays."""
+    names = F.create_map(*[F.lit(x) for pair in sorted(_NAMES.items()) for x in pair])
+
+    def one(x: Column) -> Column:
+        code = F.coalesce(F.regexp_extract(x, r"^&#(\d{1,7});$", 1).try_cast("int"), F.conv(F.nullif(F.regexp_extract(x, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1), F.lit("")), 16, 10).try_cast("int"))
+        number = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.try_element_at(names, x), number, x)
+
+    pieces = F.split(text, r"(?=&[A-Za-z0-9#]{1,10};)|(?<=;)")
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
 def html_lines(pages: DataFrame) -> DataFrame:
-    """Lines of web pages (page_id, html): headings by their level, paragraphs as body text."""
-
-    def parse(batches):
-        for batch in batches:
-            rows = []
-            for doc, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, (tag, inner) in enumerate(_BLOCK.findall(source or "")):
-                    text = " ".join(html.unescape(_TAG.sub("", inner)).split())
-                    if text:
-                        head = tag[0] in "hH"
-                        size = {"1": 16.0, "2": 12.0, "3": 10.0}.get(tag[1:], 10.0) if head else 10.0
-                        said = text.upper() if head and size == 10.0 else text
-                        rows.append((doc, 1, 0, k, said, size, head, said == said.upper() and any(c.isalpha() for c in said), 14.0 * k, 14.0 * k + 10))
-            columns = list(zip(*rows, strict=True)) or [[]] * 10
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in LINES.split(", ")])
-
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(parse, LINES)
+    """Lines of web pages (page_id, html): headings by their level, paragraphs as body text; numbered with empty blocks."""
+    blocks = pages.select(F.col("page_id").cast("long").alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(0))).alias("line_no", "b"))
+    tag = F.lower(F.regexp_extract("b", "^<([A-Za-z]+[1-6]?)", 1))
+    inner = F.regexp_replace(F.regexp_replace(F.regexp_replace("b", "^<[^>]*>", ""), r"</[A-Za-z]+[1-6]?>$", ""), "<[^>]+>", "")
+    rows = blocks.select("doc_id", "line_no", tag.alias("tag"), T.strip(F.regexp_replace(unescape(inner), r"(?U)\s+", " ")).alias("text")).where("text <> ''")
+    size = F.when(F.col("tag") == "h1", 16.0).when(F.col("tag") == "h2", 12.0).otherwise(10.0)
+    said = F.when((F.col("tag") != "p") & (size == 10.0), F.upper("text")).otherwise(F.col("text"))
+    return rows.select(
+        "doc_id", F.lit(1).alias("page"), F.lit(0).alias("col"), "line_no", said.alias("text"), size.alias("size"), (F.col("tag") != "p").alias("bold"),
+        ((F.upper(said) == said) & said.rlike(r"\p{L}")).alias("upper"), (14.0 * F.col("line_no")).alias("y_top"), (14.0 * F.col("line_no") + 10).alias("y_bot"),
+    )
 
 
 def as_matrix(column: pa.Array) -> np.ndarray:

@@ -127,6 +127,14 @@ def section_fragments(spark, sf_dir):
     return fixtures.fragments(_docs(spark, sf_dir)).withColumn("sentences", F.array_join("sentences", "|"))
 
 
+@query
+def extracted_sections(spark, sf_dir):
+    """The whole way from words on pages, with tables, to section fragments."""
+    docs = _docs(spark, sf_dir)
+    _, found, _ = layout.extract(fixtures.words(docs), fixtures.tables(docs), fixtures.WIDTH)
+    return found.withColumn("sentences", F.array_join("sentences", "|"))
+
+
 # ---------------------------------------------------------------- graph
 
 

@@ -9,20 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
+    """``spark.checkpoint.dir`` of the session, or its checkpoint folder.
+
+    Where neither is set, a session on one machine gets a temporary folder; on a cluster that is an error, as executors
+    would not see each other's files.
+    """
     sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
+    if not found and held.isDefined():
+        found = held.get()
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-        held = sc._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
+        found = sc._jsc.sc().getCheckpointDir().get()
+    return found.rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """Where this application writes what it needs again."""
+    return f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: later plans start from files that no lost executor takes along."""
-    path = f"{shared_dir(df.sparkSession)}/docloom/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> bool:
+    """Delete all that this application has written so; results that still read it have to be saved before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

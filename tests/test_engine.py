@@ -196,6 +196,67 @@ def test_unknown_generator():
         plugins.generator("nothing")
 
 
+def test_generators_over_http_and_in_workers(spark):
+    import http.server
+    import json
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = json.dumps({"response": f" {body['model']}: {body['prompt'].upper()} "}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(said)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = spark.createDataFrame([("hi", ["x"])], "p string, t array<string>")
+    try:
+        made = plugins.http_generator(f"http://127.0.0.1:{server.server_port}/api", "m")
+        assert rows.select(made(F.col("p"), F.col("t")).alias("a")).first()["a"] == "m: HI"
+    finally:
+        server.shutdown()
+    plugins.register("loud", plugins.local_generator(lambda: lambda prompts: [p + "!" for p in prompts]))
+    assert rows.select(plugins.generator("loud")(F.col("p"), F.col("t")).alias("a")).first()["a"] == "hi!"
+    plugins.GENERATORS.pop("loud")
+
+
+def test_a_scorer_that_fails_leaves_it_to_votes(spark, demo):
+    asked = spark.createDataFrame([(1, 1, "linseed paint in frost")], "doc_id long, query_id long, text string")
+    broken = lambda query, text: F.raise_error(F.lit("no model")).cast("double")
+    with pytest.warns(UserWarning, match="votes decide"):
+        got = engine.search(demo, asked, scorer=broken).results.select("rank", "page", "score").collect()
+    assert got == engine.search(demo, asked).results.select("rank", "page", "score").collect()
+    assert engine.search(demo, asked, scorer=broken).results.count() == len(got)  # not asked again
+
+
+def test_answers_need_results(spark, demo):
+    asked = spark.createDataFrame([(99, 1, "nothing holds this document")], "doc_id long, query_id long, text string")
+    with pytest.raises(ValueError, match="found nothing"):
+        engine.answer(demo, engine.search(demo, asked))
+
+
+def test_a_query_without_text_goes_by_its_best_chunk(spark):
+    rows = spark.createDataFrame([("", "a" * 200), ("q", "b")], "q string, c string")
+    assert [r.x for r in rows.select(generate.query_label(F.col("q"), F.col("c")).alias("x")).collect()] == ["a" * 120, "q"]
+
+
+def test_boundary_sentences(demo):
+    got = {r.chunk_id: (r.first_sentence, r.last_sentence) for r in expand.boundary_sentences(demo.chunks).collect()}
+    assert got == {"chunk::1": ("sentence::1", "sentence::2"), "chunk::2": ("sentence::3", "sentence::4")}
+
+
+def test_entities(spark):
+    import html
+
+    for text in ("a &amp;lt; b", "&eacute;&#233;&#xE9; &nope; &", "x &#128512; &lt;p&gt;&quot;", "plain", ";;&amp;"):
+        assert one(spark, text, plugins.unescape) == html.unescape(text), text
+
+
 @pytest.fixture(scope="module")
 def demo(spark):
     documents, fragments, tables = S.demo_fragments(spark)
@@ -214,7 +275,7 @@ def test_demo_graph(demo):
 
 
 def test_demo_search_answer_and_bundle(spark, demo, tmp_path):
-    asked = spark.createDataFrame([(1, 1, "thermal and chemical resistance of NBR and FKM"), (1, 2, "which dash sizes are not allowed")], "doc_id long, query_id long, text string")
+    asked = spark.createDataFrame([(1, 1, "how many winters does linseed paint resist rain and frost"), (1, 2, "which beam depths are not allowed")], "doc_id long, query_id long, text string")
     found, said = engine.ask(demo, asked)
     rows = found.results.orderBy("query_id", "rank").collect()
     assert rows[0].page == 2 and rows[0].normalized_score == 1.0
@@ -229,9 +290,19 @@ def test_demo_search_answer_and_bundle(spark, demo, tmp_path):
     reranked = engine.search(demo, asked, scorer=plugins.overlap_scorer).results
     assert reranked.where("page = 2 and query_id = 1 and rank = 1").count() == 1
 
+    assert set(found.timings) == {"candidate_retrieval_s", "graph_traversal_scoring_s", "result_assembly_s", "total_s"}
+    assert set(said.timings) == {"neighbourhood_s", "mmr_s", "generation_s", "citation_s", "total_s"}
+
     folder = demo.save(str(tmp_path), "demo", "/x/demo.pdf", "abc")
     back = engine.Graph.load(spark, folder, "abc")
     assert back.nodes().count() == 13
+    assert sorted(r.text for r in back.entries.collect()) == sorted(r.text for r in demo.entries.collect())
+    back.save(str(tmp_path), "demo", "/x/demo.pdf", "abc")  # over the folder it was loaded from
+    back = engine.Graph.load(spark, folder, "abc")
+    assert back.nodes().count() == 13
+    (tmp_path / "demo_kg" / "manifest-9").mkdir()  # a save that broke off
+    assert engine.Graph.load(spark, folder, "abc").nodes().count() == 13
+    (tmp_path / "demo_kg" / "manifest-9").rmdir()
     assert engine.Graph.load(spark, folder, "other") is None
     listed = store.discover(spark, str(tmp_path)).collect()
     assert [(r.stem, r.node_count, r.index_count) for r in listed] == [("demo", 13, 4)] and listed[0].bytes > 0
@@ -243,7 +314,7 @@ def test_one_query_put_to_two_documents(spark):
     parts = [S.demo_fragments(spark, d) for d in (1, 2)]
     documents, fragments, tables = (a.union(b) for a, b in zip(*parts, strict=True))
     both = engine.build(documents, fragments.select("doc_id", "page"), fragments, S.raw_tables(tables))
-    asked = spark.createDataFrame([(d, 1, "thermal and chemical resistance") for d in (1, 2)], "doc_id long, query_id long, text string")
+    asked = spark.createDataFrame([(d, 1, "how long does paint resist frost") for d in (1, 2)], "doc_id long, query_id long, text string")
     _, said = engine.ask(both, asked)
     assert said.answers.count() == said.sources.count() == said.stats.count() == 2
     for rows, names in ((said.chosen, ("node_id",)), (said.claims, ("claim_no",))):
@@ -290,8 +361,9 @@ def test_files_and_streaming(spark, tmp_path):
         (tmp_path / "in" / name).write_text(text)
     files = S.scan_files(spark, str(tmp_path / "in"), "*.txt")
     assert files.select("content_hash").distinct().count() == 2
-    lines = S.parse_files(files, lambda path, data: [(path, data.decode())] if data != b"two" else (_ for _ in ()).throw(ValueError()), "path string, text string")
+    lines, rejected = S.parse_files(files, lambda path, data: [(path, data.decode())] if data != b"two" else (_ for _ in ()).throw(ValueError("unreadable")), "path string, text string")
     assert lines.count() == 2
+    assert [(r.path[-5:], r.error) for r in rejected.collect()] == [("b.txt", "ValueError: unreadable")]
     got = []
     for _ in range(2):
         q = ingest(stream_files(spark, str(tmp_path / "in"), "*.txt"), str(tmp_path / "seen"), lambda df: got.extend(r.content_hash for r in df.collect()), str(tmp_path / f"ck{len(got)}"))

@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from docloom.oracle import ORACLE
 from docloom.queries import QUERIES
 
-FAST = [q for q in QUERIES if q in ORACLE and q not in ("graph_relation_counts", "induced_subgraph", "graph_type_counts")]
+FAST = [q for q in QUERIES if q in ORACLE]
 
 
 @pytest.fixture(scope="module")
