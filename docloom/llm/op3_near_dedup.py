@@ -4,16 +4,16 @@
 2. Independent trees branch the classes: a node of a tree picks, by its own name, one or two of the 256 places (1.25 on
    average, the inverse of the threshold), and a class goes on to the child named by the place and its minwise token
    there. Classes that share much stay together on some path, others part quickly. Paths of ``TREES`` trees of two
-   levels are computed without communication. Classes in nodes that are large and hold several components take part in
-   ``DEEP`` other trees of four and, where nodes are still large, six levels: as more pairs part on a longer path, it
-   takes more trees to keep them.
+   levels are computed without communication. Classes in nodes with too many pairs across components take part in
+   ``DEEP`` other trees of four and, where that is still so, six levels: as more pairs part on a longer path, it takes
+   more trees to keep them.
 3. Every class is compared with one pivot: of the smallest members of its nodes, that which it shares most nodes with.
    That is one pair for each class, however many nodes hold it and however large they are. Pairs whose sketches (256
    minima of a byte) agree enough are verified on the full sets, and components are formed. From then on only members
    outside the largest component of a node count, and once more each is compared with one pivot, a member of it.
-4. Nodes that still hold more than one component are compared exhaustively across components: small nodes at once;
-   large ones branch on first, and what stays large at the last level is compared in blocks, those outside the node's
-   main component against all. By their sketches, each class names its most alike partner elsewhere, if there is one.
+4. Nodes that still hold more than one component are compared exhaustively across components, those outside the node's
+   main component against all: small nodes at once, larger ones in blocks of bounded size. Nodes with more than ``PAIRS``
+   such pairs branch on first. By their sketches, each class names its most alike partner elsewhere, if there is one.
    These pairs are verified first; classes that named a partner and are still apart are then compared exhaustively
    with each other on their full sets, again in blocks. Rows grow with the members of nodes, never with their pairs.
 
@@ -33,9 +33,10 @@ from . import common, similar
 
 WIDTH, PERCENT = 4, 80
 TREES, DEEP = 12, 28
-SMALL = 64
+#: Members of a node that is compared at once, and pairs across components of one that does not branch on.
+SMALL, PAIRS = 128, 1 << 23
 #: Members of a block of a large node, and bytes of full sets in one: wider blocks repeat each member less often.
-WIDE, WIDE_BYTES = 1_024, 4 << 20
+WIDE, WIDE_BYTES = 2_048, 4 << 20
 ROUNDS = 2
 FINE = 256
 #: Least share of equal minima for a pair to be verified; one of similarity 0.8 falls short (six deviations) about once in 10^9.
@@ -74,6 +75,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     """Per row: doc_id, n_shingles, node (name of its shingle set, null if empty), sig (for branching), fine (for comparing)."""
 
     def run(batches):
+        common.forget()
         for batch in common.text_slices(batches, limit=2 * similar.STRETCH):
             hashes, begin = similar.shingles(batch.column(1), width)
             found = similar.sets(hashes, begin)
@@ -112,6 +114,16 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def alike(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The share of places at which each of ``rows`` (bytes) equals ``row``: eight places are added at a time."""
+    lanes = (rows == row).view(np.uint64).sum(axis=1)  # of up to 255 places each
+    wide = (lanes & _EVEN) + (lanes >> np.uint64(8) & _EVEN)
+    return (wide * _ONES >> np.uint64(48)).astype(np.float64) / rows.shape[1]
+
+
+_EVEN, _ONES = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
+
+
 class _Block:
     """One group of members: side 0 is a whole node, 1 holds those outside the main component, 2 those that meet them."""
 
@@ -125,7 +137,7 @@ class _Block:
         """For each left member (its place, likeness to each right member, 0 within a component and below ``SKETCH``)."""
         theirs, roots = self.fine[self.right], self.root[self.right]
         for x in self.left.tolist():
-            like = (theirs == self.fine[x]).mean(axis=1)
+            like = alike(theirs, self.fine[x])
             like[(like < SKETCH) | (roots == self.root[x])] = 0
             yield x, like
 
@@ -204,15 +216,18 @@ def _grouped(members: DataFrame) -> DataFrame:
 
 
 def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(path, node, n, root, main, pivot) of the nodes with more than one component: ``main`` is the largest, ``pivot`` one of its members."""
+    """(path, node, n, root, minors, main, pivot) of the nodes with more than one component.
+
+    ``main`` is the largest of them, ``pivot`` one of its members, ``minors`` the number of members outside it.
+    """
     named = members.select("path", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sums = named.groupBy("path", "root").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node")).alias("one"))
-    mixed = sums.groupBy("path").agg(F.count("*").alias("parts"), F.max_by(F.struct("root", "one"), F.struct("m", "root")).alias("top")).where("parts > 1")
-    mixed = common.materialize(mixed.select("path", F.col("top.root").alias("main"), F.col("top.one").alias("pivot")), "nodes")
+    mixed = sums.groupBy("path").agg(F.count("*").alias("parts"), (F.sum("m") - F.max("m")).alias("minors"), F.max_by(F.struct("root", "one"), F.struct("m", "root")).alias("top")).where("parts > 1")
+    mixed = common.materialize(mixed.select("path", "minors", F.col("top.root").alias("main"), F.col("top.one").alias("pivot")), "nodes")
     return named.join(mixed, "path")
 
 
-def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int, small: int = SMALL, rounds: int = ROUNDS, wide: int = WIDE) -> DataFrame:
+def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int, small: int = SMALL, rounds: int = ROUNDS, wide: int = WIDE, pairs: int = PAIRS) -> DataFrame:
     """(node, root) of the components that verified links make among ``classes`` (node, rep, sig, fine)."""
     sigs, fine = classes.select("node", "sig"), classes.select("node", "fine")
 
@@ -233,8 +248,9 @@ def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, tree
     level = common.materialize(_grouped(sigs.mapInArrow(_rooted(0, trees, 2, percent), "path long, node long").distinct()), "paths")
     roots = common.materialize(similar.components(stars(level)), "roots")
     level, roots = mixed(level, roots)
-    leaves = [level.where(F.col("n") <= small)]
-    level = level.where(F.col("n") > small)
+    leaf = F.col("n") * F.col("minors") <= pairs
+    rest = level.where(leaf)
+    level = level.where(~leaf)
     for k in range(rounds):
         if level.isEmpty():
             break
@@ -243,21 +259,19 @@ def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, tree
         else:
             deeper = level.select("path", "node").join(sigs, "node").select("path", "node", "sig").mapInArrow(_deeper(percent), "path long, node long").distinct()
         level, roots = mixed(common.materialize(_grouped(common.materialize(deeper, "paths")), "paths"), roots)
-        leaves.append(level.where(F.col("n") <= small))
-        level = level.where(F.col("n") > small)
+        rest = rest.unionByName(level.where(leaf))
+        level = level.where(~leaf)
 
-    # what is left: nodes that hold several components, small ones and those that stayed large to the end
+    # what is left: nodes that hold several components, and those that had many pairs to the end
     member = F.collect_list(F.struct("node", "root", "fine", "side")).alias("group")
-    rest = leaves[0]
-    for x in leaves[1:]:
-        rest = rest.unionByName(x)
-    near = _named(rest, roots).join(fine, "node").withColumn("side", F.lit(0)).groupBy("path").agg(F.first("main").alias("main"), member)
-    big = _blocks(common.materialize(_named(level, roots), "large").withColumn("minor", F.col("root") != F.col("main")).select("path", "node", "root", "main", "minor"), "path", wide)
+    rest = common.materialize(_named(rest.unionByName(level), roots), "rest")
+    near = rest.where(F.col("n") <= small).join(fine, "node").withColumn("side", F.lit(0)).groupBy("path").agg(F.first("main").alias("main"), member)
+    big = _blocks(rest.where(F.col("n") > small).withColumn("minor", F.col("root") != F.col("main")).select("path", "node", "root", "main", "minor"), "path", wide)
     blocked = big.join(fine, "node").groupBy("path", "i", "j").agg(F.first("main").alias("main"), member)
     named = near.select("main", "group").union(blocked.select("main", "group")).mapInArrow(_across, "node long, partner long, like double, main long")
     named = common.materialize(named.groupBy("node", "main").agg(F.max_by("partner", F.struct("like", "partner")).alias("partner")), "partners")
-    pairs = named.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
-    roots = similar.extend(roots, similar.jaccard_links(common.materialize(pairs, "pairs"), classes, docs, width, percent))
+    asked = named.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
+    roots = similar.extend(roots, similar.jaccard_links(common.materialize(asked, "pairs"), classes, docs, width, percent))
 
     # classes that named a partner and are still apart, on their full sets
     apart = named.select("node", "main").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -75,12 +75,20 @@ def test_near_duplicates(spark, sf_dir, make_docs, nasty, case):
 
 
 def test_deep_levels_and_blocks_lose_no_link(make_docs, monkeypatch):
-    monkeypatch.setattr(near.roots_of, "__defaults__", (4, 1, 8))  # nodes of five are large, and large ones remain at the end
+    monkeypatch.setattr(near.roots_of, "__defaults__", (4, 1, 8, 16))  # nodes of five are large, and large ones remain at the end
     rows = planted(5)
     got = near.near_duplicates(make_docs(rows)).collect()
     assert by_id(got, "doc_id", "component_id") == by_id(brute(rows, 4), "i", "c")
 
 
+def test_sketches_are_compared_place_by_place():
+    rng = np.random.default_rng(0)
+    rows = rng.integers(0, 3, (50, near.FINE)).astype(np.uint8)
+    rows[7] = rows[3]
+    assert np.allclose(near.alike(rows, rows[3]), (rows == rows[3]).mean(axis=1))
+    assert near.alike(rows, rows[3])[7] == 1
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in similar.components(edges).collect()}
@@ -136,6 +144,62 @@ def test_fingerprints(make_docs, nasty):
     assert fingerprints(make_docs([])).count() == 0
 
 
+def by_hand(text, width, many=similar.PERMUTATIONS, seed=1):
+    """The fingerprint of a text in whole numbers, hash by hash."""
+    top, m1, m2, gold, base = 1 << 64, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+    def mix(x):
+        x %= top
+        x = (x ^ x >> 30) * m1 % top
+        x = (x ^ x >> 27) * m2 % top
+        return x ^ x >> 31
+
+    words = [mix(sum(mix((b + 1) * gold) * pow(base, i, top) for i, b in enumerate(w.encode()))) for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    salt = [mix((j + 1) * m2) | 1 for j in range(width)]
+    rows = [words[i : i + width] for i in range(len(words) - width + 1)] if len(words) >= width else [words] if words else []
+    found = [mix(sum(w * s for w, s in zip(r, salt, strict=False)) + (len(r) * gold if len(r) < width else 0)) for r in rows]
+    keys = [mix(k + (seed << 32)) for k in range(1, 2 * many + 1)]
+    return [min((((a | 1) * x + b) % top >> 32 for x in found), default=0xFFFFFFFF) & 0xFFFF for a, b in zip(keys[:many], keys[many:], strict=True)]
+
+
+def test_fingerprints_by_hand(monkeypatch):
+    monkeypatch.setattr(similar, "STRETCH", 40)  # words of one text from several stretches
+    texts = ["", None, " ", "One two", "a b c d e f g A b c d e f g é 漢字 x", "the cat sat on the mat " * 30]
+    assert fingerprint(pa.array(texts)).tolist() == [by_hand(t, 5) for t in texts]
+
+
+@pytest.mark.parametrize("kind", ["nasty", "empty"])
+def test_near_groups_on_hard_rows(make_docs, nasty, kind):
+    rows = [*nasty, (60, "one two three four five six seven"), (61, "One two three FOUR five six seven"), (61, "One two three FOUR five six seven")] if kind == "nasty" else []
+    got = near_groups(make_docs(rows, extra=True)).collect()
+    named = [r for r in rows if r[0] is not None]
+    want = {(b["i"], b["c"]) for b in brute(named, 5)}
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == want
+    assert len(got) == len(rows) and all(r.n_alike >= 1 for r in got)
+    assert near_pairs(make_docs(rows, extra=True)).where("a = b").count() == 0
+
+
+def test_bands_find_planted_near_copies(make_docs):
+    rng = random.Random(12)
+    rows, want = [], []
+    for g in range(150):
+        base = [f"{g}x{rng.randrange(10**6)}" for _ in range(120)]
+        copy = list(base)
+        copy[rng.randrange(120)] = "changed"  # similarity 0.92 at least
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        want.append((2 * g, 2 * g + 1))
+    got = {r.doc_id: r.component_id for r in near_groups(make_docs(rows)).collect()}
+    assert sum(got[a] == got[b] for a, b in want) >= 0.99 * len(want)
+    assert len(set(got.values())) >= 150
+
+
+def test_rows_without_id(make_docs):
+    text = "a b c d e f g h"
+    got = near.near_duplicates(make_docs([(None, text), (7, text), (9, text), (None, "x y z"), (None, None), (9, text)])).collect()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=key) == sorted([(None, 7, False), (7, 7, True), (9, 7, False), (9, 7, False), (None, None, True), (None, None, True)], key=key)
+
+
 def test_near_pairs(make_docs):
     rows = planted(3)
     docs = make_docs(rows)
