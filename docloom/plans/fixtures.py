@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, layout
 from ..sources.documents import text_lines
+from ..storage import spread
 
 WIDTH = 612.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def hyphenated(docs: DataFrame) -> DataFrame:

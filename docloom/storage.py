@@ -39,6 +39,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of files between which a table is dealt out before work on it.
+SPREAD = (1 << 20, 64 << 20)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few files dealt out to all cores; a larger one, which has splits for them, as it is.
+
+    A file with one row group is one task however many cores there are. At these sizes a shuffle costs less than that.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and SPREAD[0] <= size <= SPREAD[1] else df
+
+
 def clean(spark: SparkSession) -> bool:
     """Delete all that this application has written so; results that still read it have to be saved before."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
