@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver of a run may write each result and read it
-again. All but the last return the columns of ``documents``.
+again. All but the last return the columns of ``documents``. In every stage an empty table gives an empty one, long texts
+are taken whole, ties do not matter, and columns besides ``doc_id``, ``text`` and ``lang`` pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,24 +19,30 @@ from docloom.llm.op10_quality_rules import kept_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a certified cutoff reject go."""
+    """Documents that the base rules or a certified cutoff reject go.
+
+    Null, empty and blank texts go, as they have fewer words than the base rules ask for. Repeated rows stay or go together.
+    """
     return kept_documents(docs, common.ready(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the smallest id stays."""
+    """Of documents linked by five-word shingles at 0.8 or more, the smallest id stays.
+
+    Null, empty and blank texts are like nothing and stay, as do rows without id. Rows that repeat an id stay or go together.
+    """
     common.ready(spark)
     return one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked; every document stays, null and empty texts as they are, repeated rows each."""
     common.ready(spark)
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences of 2048 tokens."""
+    """Pieces with their places in sequences of 2048 tokens; a null or empty text is one piece, repeated rows are packed each."""
     common.ready(spark)
     return pack(docs)
 
