@@ -371,6 +371,96 @@ def test_files_and_streaming(spark, tmp_path):
     assert len(got) == 2  # the second stream starts afresh, yet each content is handled once
 
 
+def pdf_file(streams, title=b"Garden bridges", packed=False):
+    """A small PDF with a page for each content stream, two simple fonts, a composite one and a form."""
+    import zlib
+
+    form = b"BT /F1 8 Tf 1 0 0 1 10 500 Tm (In form) Tj ET"
+    cmap = b"1 beginbfchar <0001> <6F22> endbfchar 1 beginbfrange <0002> <0003> <0061> endbfrange"
+    plain = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>",
+        2: b"<</Type/Pages/Kids[" + b" ".join(b"%d 0 R" % (20 + 2 * k) for k in range(len(streams))) + b"]/MediaBox[0 0 612 792]/Resources 3 0 R>>",
+        3: b"<</Font<</F1 5 0 R/F2 6 0 R/F3 9 0 R>>/XObject<</X 8 0 R>>>>",
+        5: b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica-Bold/Encoding/WinAnsiEncoding>>",
+        6: b"<</Type/Font/Subtype/TrueType/BaseFont/Arial/FirstChar 32/Widths[278 " + b"556 " * 94 + b"]/Encoding<</BaseEncoding/WinAnsiEncoding/Differences[126/eacute/seven]>>>>",
+        7: b"<</Title(" + title + b")>>",
+        9: b"<</Type/Font/Subtype/Type0/BaseFont/Song/DescendantFonts[10 0 R]/ToUnicode 11 0 R>>",
+        10: b"<</Type/Font/DW 1000/W[2[600 700]]>>",
+    }
+    parts = {8: (b"/Subtype/Form", form), 11: (b"", cmap)}
+    for k, content in enumerate(streams):
+        plain[20 + 2 * k] = b"<</Type/Page/Parent 2 0 R/Contents %d 0 R>>" % (21 + 2 * k)
+        parts[21 + 2 * k] = (b"/Filter/FlateDecode", zlib.compress(content))
+    out = b"%PDF-1.5\n"
+    if packed:
+        heads, body = b"", b""
+        for k, v in plain.items():
+            heads += b"%d %d " % (k, len(body))
+            body += v + b" "
+        parts[40] = (b"/Type/ObjStm/N %d/First %d/Filter/FlateDecode" % (len(plain), len(heads)), zlib.compress(heads + body))
+        plain = {}
+    out += b"".join(b"%d 0 obj\n%b\nendobj\n" % x for x in plain.items())
+    out += b"".join(b"%d 0 obj\n<<%b/Length %d>>stream\n%b\nendstream\nendobj\n" % (k, info, len(raw), raw) for k, (info, raw) in parts.items())
+    return out + b"trailer<</Root 1 0 R/Info 7 0 R>>\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_words(packed):
+    from docloom.sources import pdf
+
+    page = b"BT /F1 16 Tf 72 720 Td (Bridge \\(old\\)) Tj /F2 10 Tf 0 -24 Td [(Oak pl) -20 (~nks ca) 400 (rry) -900 (\\060\177)] TJ 14 TL T* (two w\\141lkers.) Tj ET q 1 0 0 1 100 0 cm /X Do Q"
+    rows = pdf.words("x", pdf_file([page, b"BT /F3 9 Tf 1 0 0 1 50 700 Tm <000100020003> Tj ET"], packed=packed))
+    assert [(r[0], r[1], r[2], r[7]) for r in rows] == [
+        (1, 0, "Bridge", "Helvetica-Bold"), (1, 1, "(old)", "Helvetica-Bold"), (1, 2, "Oak", "Arial"), (1, 3, "plénks", "Arial"), (1, 4, "ca", "Arial"), (1, 5, "rry", "Arial"), (1, 6, "07", "Arial"),
+        (1, 7, "two", "Arial"), (1, 8, "walkers.", "Arial"), (1, 9, "In", "Helvetica-Bold"), (1, 10, "form", "Helvetica-Bold"), (2, 0, "漢ab", "Song"),
+    ]
+    first, oak, form = rows[0], rows[2], rows[9]
+    assert first[3:7] == pytest.approx((72.0, 792 - 720 + 3.2 - 16, 792 - 720 + 3.2, 16.0)) and first[8:] == (612.0, 792.0, "Garden bridges")
+    assert (oak[3], oak[6]) == (72.0, 10.0) and form[3] == 110.0
+    for bad in (b"plain text", pdf_file([]), pdf_file([page]).replace(b"/Info 7", b"/Encrypt 7")):
+        with pytest.raises(ValueError):
+            pdf.words("x", bad)
+
+
+def test_pdf_files_end_to_end(spark, tmp_path):
+    from docloom.sources import pdf
+
+    line = lambda y, text, font="F2", size=10: f"1 0 0 1 72 {y} Tm /{font} {size} Tf ({text}) Tj".encode()
+    pages = [
+        b"BT " + b" ".join([line(740, "Planks and Beams", "F1", 16), line(700, "Oak planks carry two walkers at once."), line(686, "Larch beams stay dry.")]) + b" ET",
+        b"BT " + b" ".join([line(740, "Paint and Weather", "F1", 16), line(700, "Linseed paint resists frost for seven winters."), line(686, "Zinc screws keep their grip.")]) + b" ET",
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "bridges.pdf").write_bytes(pdf_file(pages))
+    (tmp_path / "in" / "broken.pdf").write_bytes(b"nothing")
+    documents, words, sizes, rejected = pdf.scan(spark, str(tmp_path / "in"))
+    assert [r.path[-10:] for r in rejected.collect()] == ["broken.pdf"]
+    assert sizes.count() == 2
+    built = engine.from_words(documents, words)
+    assert {r.type: r.n for r in graph.type_counts(built.nodes()).collect()} == {"PDF": 1, "Page": 2, "Section": 2, "Sentence": 4, "SemanticChunk": 2}
+    assert built.documents.first().title == "Garden bridges"
+    doc = built.documents.first().doc_id
+    found = engine.search(built, spark.createDataFrame([(doc, 1, "how many winters does paint resist")], "doc_id long, query_id long, text string")).results
+    assert found.orderBy("rank").first().section == "Paint and Weather"
+
+
+def test_pages_without_sentences_fall_back(spark):
+    found = spark.createDataFrame([(1, "a", 7), (1, "b", 2), (1, "c", None)], "doc_id long, node_id string, page int")
+    pages = spark.createDataFrame([(1, "b", 3, 4, 0)], "doc_id long, node_id string, page int, n long, first_idx int")
+    got = {(r.node_id, r.page, r.n) for r in retrieve.with_fallback_page(found, pages).collect()}
+    assert got == {("a", 7, 1), ("b", 3, 4)}
+
+
+def test_answer_text_highlights_and_drawing(spark):
+    row = spark.createDataFrame([(1, 2, "why", "m", "extractive", [2, 3], 3, 4, 0.75, "So it is.")], "doc_id long, query_id long, query string, model_name string, backend string, source_pages array<int>, n_cited int, total_claims int, cite_rate double, answer string")
+    text = render.answer_text(row).first()["text"]
+    assert 'Query     : "why"' in text and "3/4 claims (75%)" in text and "[2, 3]" in text and text.endswith("So it is.\n")
+    results = spark.createDataFrame([(1, 1, 5, 1, [("a",)]), (1, 1, 5, 2, [("b",), ("c",), ("d",), ("e",)])], "doc_id long, query_id long, page int, rank int, sentences array<struct<text:string>>")
+    assert render.page_highlights(results).first()["sentences"] == ["b", "c", "d"]
+    edges = spark.createDataFrame([(d, "a", str(k), "R") for d in (1, 2) for k in range(9)], "doc_id long, src string, dst string, relation string")
+    assert {(r.doc_id, r["count"]) for r in render.cap_edges(edges, 4).groupBy("doc_id").count().collect()} == {(1, 4), (2, 4)}
+
+
 def test_web_lines(spark):
     pages = spark.createDataFrame([(1, "u", "<h1>Top &amp; all</h1><p>Body <b>text</b>.</p>"), (2, "u", None)], "page_id long, url string, html string")
     assert [(r.text, r.size) for r in plugins.html_lines(pages).orderBy("line_no").collect()] == [("Top & all", 16.0), ("Body text.", 10.0)]
