@@ -218,6 +218,61 @@ cm AS (SELECT *, sum(CASE WHEN i > 1 AND regexp_matches(prev, '{_CLAIM_TAIL}', '
 claims AS (SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY g) AS claim_no, claim FROM (SELECT answer_id, g, {_strip("string_agg(part, ' ' ORDER BY i)")} AS claim FROM cm GROUP BY ALL) WHERE length(claim) > 0)"""
 
 
+def _cosine(a: str, b: str) -> str:
+    return f"coalesce(nullif(list_cosine_similarity({a}, {b}), 'NaN'::DOUBLE), 0)"
+
+
+#: A search of each document for its first sentence, up to the pages found.
+_SEARCH = (
+    f"""caps AS (SELECT b.doc_id, b.page, b.t_idx, coalesce(string_agg({_strip('text')}, ' ' ORDER BY line_no), '') AS caption FROM boxes b LEFT JOIN (
+ SELECT l.*, row_number() OVER (PARTITION BY l.doc_id, l.page ORDER BY line_no DESC) AS r FROM lines l JOIN boxes USING (doc_id, page)
+ WHERE (y_top + y_bot) / 2 BETWEEN 60 AND 140 AND length({_strip('text')}) > 0) l ON l.doc_id = b.doc_id AND l.page = b.page AND r <= 3 GROUP BY ALL)""",
+    """facts AS (
+ SELECT doc_id, 'table::' || page || '::' || t_idx AS node_id, 'Table' AS type, trim(caption) AS text, section_no, 0 AS kind, page AS place FROM caps LEFT JOIN active USING (doc_id, page)
+ UNION ALL SELECT doc_id, 'chunk::' || chunk_no, 'SemanticChunk', string_agg(s.text, ' ' ORDER BY idx), c.section_no, 1, chunk_no FROM chunked c JOIN sents s USING (doc_id, idx) GROUP BY doc_id, chunk_no, c.section_no)""",
+    "ent AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, place) - 1 AS idx FROM facts)",
+    f"q AS (SELECT doc_id, ({_sentences('text')})[1] AS text FROM documents WHERE len({_sentences('text')}) > 0)",
+    _embedded("SELECT (doc_id, idx) AS id, text FROM ent", "evec"),
+    _embedded("SELECT doc_id AS id, text FROM q", "qvec"),
+    _embedded("SELECT (doc_id, section_no) AS id, heading AS text FROM secs", "hvec"),
+    """mean AS (SELECT doc_id, list(m ORDER BY b) AS mean FROM (SELECT doc_id, b, avg(x) AS m FROM (SELECT doc_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS b FROM evec JOIN ent e ON id = (e.doc_id, e.idx)) GROUP BY ALL) GROUP BY doc_id)""",
+    """ecen AS MATERIALIZED (SELECT e.doc_id, e.idx, list_transform(list_zip(vec, mean), lambda z: round(z[1] - z[2], 9)) AS c FROM evec JOIN ent e ON id = (e.doc_id, e.idx) JOIN mean USING (doc_id))""",
+    """qcen AS MATERIALIZED (SELECT q.doc_id, q.text, vec, list_transform(list_zip(vec, mean), lambda z: round(z[1] - z[2], 9)) AS c FROM q JOIN qvec ON id = q.doc_id JOIN mean USING (doc_id))""",
+    f"""dns AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, idx) AS rank FROM (SELECT doc_id, e.idx, round({_cosine('q.c', 'e.c')}, 9) AS sim FROM qcen q JOIN ecen e USING (doc_id)))""",
+    f"""btok AS (SELECT doc_id, idx, {_tokens('text')} AS t FROM ent),
+bpost AS MATERIALIZED (SELECT doc_id, idx, term, count(*) AS tf FROM (SELECT doc_id, idx, unnest(t) AS term FROM btok) GROUP BY ALL),
+bcor AS (SELECT doc_id, count(*) AS n_docs, avg(len(t)) AS avgdl FROM btok GROUP BY doc_id),
+bidf AS (SELECT doc_id, term, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS v FROM bpost JOIN bcor USING (doc_id) GROUP BY doc_id, term),
+bterm AS (SELECT doc_id, term, CASE WHEN v < 0 THEN {C.BM25_EPSILON} * avg(v) OVER (PARTITION BY doc_id) ELSE v END AS idf FROM bidf)""",
+    f"""qterm AS (SELECT doc_id, kind, term, count(*) AS qtf FROM (
+ SELECT doc_id, 1 AS kind, unnest({_tokens('text')}) AS term FROM q UNION ALL SELECT doc_id, 2, unnest({_tokens("'" + _MARKERS + "'")}) FROM q WHERE {_negation('text')}) GROUP BY ALL),
+bsum AS (SELECT doc_id, kind, idx, round(sum(qtf * idf * tf * ({C.BM25_K1} + 1) / (tf + {C.BM25_K1} * (1 - {C.BM25_B} + {C.BM25_B} * len(t) / avgdl))), 9) AS score
+ FROM qterm JOIN bterm USING (doc_id, term) JOIN bpost USING (doc_id, term) JOIN btok USING (doc_id, idx) JOIN bcor USING (doc_id) GROUP BY ALL),
+ball AS (SELECT d.doc_id, k.kind, d.idx, coalesce(score, 0) AS score FROM dns d JOIN (SELECT doc_id, 1 AS kind FROM q UNION ALL SELECT DISTINCT doc_id, kind FROM qterm WHERE kind = 2) k ON k.doc_id = d.doc_id
+ LEFT JOIN bsum b ON b.doc_id = d.doc_id AND b.kind = k.kind AND b.idx = d.idx),
+brank AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY score DESC, idx) AS rank FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, kind) AS best FROM ball) WHERE score >= best * {C.BM25_FLOOR})""",
+    f"""seen AS (SELECT doc_id, idx, 0 AS k, rank, {C.DENSE_WEIGHT} AS w FROM dns UNION ALL SELECT doc_id, idx, kind, rank, CASE kind WHEN 1 THEN {C.BM25_WEIGHT} ELSE {C.NEGATION_WEIGHT} END FROM brank),
+fusion AS (SELECT doc_id, idx, rrf, row_number() OVER (PARTITION BY doc_id ORDER BY rrf DESC, k, rank, idx) AS cand_rank
+ FROM (SELECT doc_id, idx, round(sum(w::DOUBLE / ({C.RRF_K} + rank)), 12) AS rrf, min(k) AS k, arg_min(rank, k) AS rank FROM seen GROUP BY doc_id, idx) QUALIFY cand_rank <= {C.CANDIDATES})""",
+    f"""first_cap AS (SELECT doc_id, section_no, arg_min(caption, page * 1000 + t_idx) AS cap FROM caps JOIN active USING (doc_id, page) WHERE section_no IS NOT NULL GROUP BY ALL),
+cands AS MATERIALIZED (SELECT f.doc_id, f.cand_rank, f.rrf, e.node_id, e.type, e.text, coalesce(s.heading, '') AS section, coalesce(cap, '') AS cap, q.text AS query,
+  CASE WHEN h.vec IS NOT NULL THEN round({_cosine('q.vec', 'h.vec')}, 9) END AS section_sim, coalesce(CASE WHEN h.vec IS NOT NULL THEN round({_cosine('q.c', 'h.vec')}, 4) END, 0) AS section_score
+ FROM fusion f JOIN ent e USING (doc_id, idx) JOIN qcen q USING (doc_id) LEFT JOIN secs s ON s.doc_id = e.doc_id AND s.section_no = e.section_no
+ LEFT JOIN hvec h ON h.id = (e.doc_id, e.section_no) LEFT JOIN first_cap c ON c.doc_id = e.doc_id AND c.section_no = e.section_no)""",
+    """npg AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id, node_id) AS fraction FROM (
+ SELECT doc_id, 'chunk::' || chunk_no AS node_id, page, count(*) AS n, min(idx) AS first_idx FROM chunked GROUP BY ALL UNION ALL SELECT doc_id, 'table::' || page || '::' || t_idx, page, 1, 0 FROM caps)),
+prime AS (SELECT doc_id, node_id, page AS main FROM npg QUALIFY row_number() OVER (PARTITION BY doc_id, node_id ORDER BY n DESC, first_idx) = 1),
+span AS (SELECT doc_id, node_id, min(page) AS low, max(page) AS high, string_agg('p' || page || ': ' || printf('%.0f', round(fraction * 100)) || '%', ', ' ORDER BY page) AS said FROM npg GROUP BY ALL)""",
+    f"""pscore AS (SELECT doc_id, page, round(sum((rrf * {C.VOTE_CHUNK} + CASE WHEN section_sim >= {C.SECTION_SIMILARITY} THEN {C.VOTE_SECTION} ELSE 0 END + CASE WHEN length(cap) > 0 THEN {C.VOTE_TABLE} ELSE 0 END) * fraction), 12) AS score
+ FROM cands JOIN npg USING (doc_id, node_id) GROUP BY doc_id, page),
+ptop AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page) AS rank FROM pscore QUALIFY rank <= {C.TOP_K}),
+pbest AS (SELECT doc_id, main AS page, arg_min(node_id, cand_rank) AS node_id FROM cands JOIN prime USING (doc_id, node_id) GROUP BY ALL)""",
+    """block AS (SELECT t.doc_id, c.query, t.rank, concat_ws(chr(10), chr(10) || printf('  #%d  Score: %.4f  |  ', t.rank, round(t.score, 4)) || CASE WHEN low = high THEN 'Page ' || t.page ELSE 'Pages ' || low || '-' || high END || '  [' || type || ']',
+  CASE WHEN length(section) > 0 THEN '       Section   : ' || section || printf('  (sim: %.3f)', round(section_score, 3)) END, CASE WHEN length(cap) > 0 THEN '       Table     : ' || cap END,
+  CASE WHEN low < high THEN '       Pages     : ' || said END, '       Content   : ' || CASE WHEN length(c.text) > 200 THEN c.text[1:197] || '...' ELSE c.text END) AS b
+ FROM ptop t JOIN pbest USING (doc_id, page) JOIN cands c USING (doc_id, node_id) JOIN span USING (doc_id, node_id))""",
+)
+
 #: One step of a walk takes the best candidate given those taken before.
 _MMR = (
     """cand AS MATERIALIZED (SELECT query_id, idx, rank AS seq, sim, embedding::DOUBLE[] AS e FROM dranked JOIN embeddings ON vec_id = idx WHERE rank <= 30)""",
@@ -347,6 +402,8 @@ grp AS (SELECT doc_id, min(chunk_no) AS o, '[' || s || ']' || chr(10) || string_
 SELECT doc_id, {_strip("string_agg(b, chr(10) || chr(10) ORDER BY o)")} AS context FROM grp GROUP BY doc_id"""),
     "split_claims": _sql((_claims("text || ' See Fig. 3 of Dr. Who. And so on.'"),), "SELECT answer_id, claim_no, claim FROM claims"),
     "mmr_select": _sql(("dense", *_MMR), "SELECT query_id, k AS mmr_rank, 'v' || idx AS node_id, round(sim, 6) AS query_sim, round(score, 6) AS mmr_score FROM walk WHERE k > 0", recursive=True),
+    "search_results": _sql((*_SECTION, "secs", "sents", _embedded("SELECT (doc_id, idx) AS id, text FROM sents"), "chunked", "pages_", "active", "boxes", *_SEARCH), f"""
+SELECT doc_id, doc_id AS query_id, chr(10) || 'Query: "' || query || '"' || chr(10) || repeat('-', 60) || chr(10) || string_agg(b, chr(10) ORDER BY rank) || chr(10) AS text FROM block GROUP BY doc_id, query"""),
     "cite_claims": _sql(_CITED, f"""SELECT answer_id, claim_no, top >= {C.CITE_THRESHOLD} AS cited, printf('%.4f', top)::DOUBLE AS score, printf('%.4f', ce)::DOUBLE AS ce_score, printf('%.4f', kw)::DOUBLE AS keyword_sim,
  CASE WHEN top >= {C.CITE_THRESHOLD} THEN 'doc::' || idx END AS matched_node, CASE WHEN top >= {C.CITE_THRESHOLD} THEN '[p. 1]' END AS citation FROM walk WHERE claim_no > 0""", recursive=True),
     "cited_sources": _sql(_CITED, f"""SELECT answer_id, string_agg(claim || CASE WHEN top >= {C.CITE_THRESHOLD} THEN ' [p. 1]' ELSE '' END, ' ' ORDER BY claim_no) AS answer,
