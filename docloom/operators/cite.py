@@ -7,6 +7,7 @@ of one answer, a few dozen rows; answers are independent Arrow groups.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,19 +48,22 @@ def score_candidates(claims: DataFrame, index: DataFrame, embed: Embedder = hash
 def choose(rows: pd.DataFrame, threshold: float, alpha: float, limit: int, keys: list[str]) -> pd.DataFrame:
     """One row for each claim of an answer, in order: its best candidate, cited if it reaches ``threshold``."""
     cited: dict[int, int] = {}
+    number = rows["claim_no"].to_numpy()
+    order = np.lexsort((rows["cand_no"].to_numpy(), number))
+    number = number[order]
+    idx, combined, ce, keyword = (rows[c].to_numpy()[order].tolist() for c in ("idx", "combined", "ce_score", "keyword_sim"))
+    starts = np.flatnonzero(np.diff(number, prepend=number[0] - 1)).tolist()
     name = [rows[k].iloc[0] for k in keys]
+    claim = rows["claim"].to_numpy()[order]
     out = []
-    for number, group in rows.sort_values(["claim_no", "cand_no"]).groupby("claim_no", sort=True):
-        best, top = None, None
-        for r in group.itertuples(index=False):
-            times = cited.get(r.idx, 0)
-            score = -1.0 if times >= limit else r.combined / (1 + alpha * times)
-            if top is None or score > top:
-                best, top = r, score
+    for a, b in zip(starts, [*starts[1:], len(idx)], strict=True):
+        scores = [-1.0 if (times := cited.get(i, 0)) >= limit else c / (1 + alpha * times) for i, c in zip(idx[a:b], combined[a:b], strict=True)]
+        top = max(scores)
+        best = a + scores.index(top)  # of equals the first
         ok = top >= threshold
         if ok:
-            cited[best.idx] = cited.get(best.idx, 0) + 1
-        out.append((*name, number, best.claim, ok, round(top, 4), round(best.ce_score, 4), round(best.keyword_sim, 4), best.idx if ok else None))
+            cited[idx[best]] = cited.get(idx[best], 0) + 1
+        out.append((*name, number[a], claim[a], ok, round(top, 4), round(ce[best], 4), round(keyword[best], 4), idx[best] if ok else None))
     made = pd.DataFrame(out, columns=[*keys, *(c.split()[0] for c in CITED.split(", "))])
     return made.astype({"idx": "Int64"})
 

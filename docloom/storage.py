@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,11 +33,35 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: later plans start from files that no lost executor takes along."""
-    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: After so many written tables, what no plan refers to any more is released.
+EVERY = 6
+_written = 0
+
+
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """``df`` written as Parquet and read again: later plans start from files that no lost executor takes along.
+
+    A ``narrow`` table has short rows, a few numbers each: it is written in no more files than two for each core, whatever
+    the number of shuffle partitions, as thousands of tiny files cost more than they hold.
+    """
+    global _written
+    spark = df.sparkSession
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
+    _written += 1
+    if _written % EVERY == 0:
+        release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and broadcast tables of plans that are gone.
+
+    Its cleaner acts on what the collectors of Python and the JVM have found, and a driver with little to do may not
+    collect for the whole of an iteration, while files and memory add up on the executors.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Bytes of files between which a table is dealt out before work on it.
