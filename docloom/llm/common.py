@@ -11,56 +11,48 @@ Conventions for every operator of this subpackage:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..storage import materialize  # noqa: F401
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of text that one vectorised step of a Python worker takes, so that its memory is bounded.
 SLICE_BYTES = 6 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of files that one range of ids should not exceed, and the number of ranges up to which bounds are looked up in the plan.
+RANGE_BYTES, MOST_RANGES = 256 << 20, 4_096
 
 
 # ---------------------------------------------------------------- session and storage
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where its folder exists on their machine."""
+    """Let Python workers import this package where its folder exists on their machine, and keep Arrow batches small.
+
+    A batch is held by the executor, by Arrow outside its heap and by the worker; one of ``SLICE_BYTES`` is what a
+    vectorised step takes. A session with a limit of its own keeps it.
+    """
+    if spark.conf.get(_BATCH) == "67108864b":  # the default
+        spark.conf.set(_BATCH, f"{SLICE_BYTES}b")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), ROOT) if x)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="docloom-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: lineage ends in files that no lost executor takes along."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return storage.spread(ready(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def id_text(docs: DataFrame) -> DataFrame:
@@ -72,16 +64,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges(docs: DataFrame) -> int:
+    """How many ranges ``docs`` are dealt to: as many as there are shuffle partitions, and more where those would exceed ``RANGE_BYTES``.
+
+    The size is Spark's own estimate from the files behind the plan, so nothing is read for it; a plan without one counts
+    as small.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(docs.sparkSession), min(MOST_RANGES, -(-size // RANGE_BYTES)) if size < 1 << 60 else 1)
+
+
 def in_order(docs: DataFrame, *, ahead: bool = False) -> tuple[DataFrame, int]:
     """Deal rows out by ranges of ``doc_id``, sorted inside each: returns (rows with ``shard``, number of shards).
 
-    The bounds are ids that occur, from approximate percentiles over a scan of the id column alone, so the text is moved
+    Rows that repeat one id, or have none, share a range, as their order is one. The bounds are ids that occur, from approximate percentiles over a scan of the id column alone, so the text is moved
     only once. With ``ahead``, the rows of the first id of each shard also go to the shard before it (``ahead`` true,
     sorted last), and those of the smallest id to the last shard: each row then finds its successor in its own shard.
     Their number is bounded by the number of shards (times the repeats of one id).
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = ranges(docs)
     steps = [k / n for k in range(1, n)]
     got = docs.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", F.lit([float(x) for x in steps] or [0.5]), F.lit(10 * n + 1000)).alias("cuts")).first()
     if got["low"] is None:
@@ -205,7 +206,7 @@ _PLAIN = re.compile(r" ?[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 class Chunks:
     """Encodes texts chunk by chunk, each distinct chunk once; a memo of bounded size keeps chunks from batch to batch."""
 
-    MEMO = 250_000
+    MEMO = 600_000
     lower = False
 
     def __init__(self):
@@ -215,8 +216,36 @@ class Chunks:
         self.memo: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.begin = np.zeros(1 << 18, np.int64)
+        self.uses = np.zeros(1 << 18, np.int32)  # batches that a chunk was in
         self.held = 0
 
+    def keep(self, most: int) -> None:
+        """Make room: keep the chunks that were in more than one batch, and of those at most ``most`` that were in most."""
+        names = list(self.memo)
+        places = np.fromiter(self.memo.values(), np.int64, len(names))
+        uses, least = self.uses[places], 2
+        while np.count_nonzero(uses >= least) > most:
+            least += max(1, least // 4)
+        keep = np.flatnonzero(uses >= least)
+        flat, begin = spread(places[keep], self.flat, self.begin, np.arange(len(keep) + 1))
+        self.forget()
+        self._add([names[i] for i in keep.tolist()], np.arange(len(keep)), flat, np.diff(begin))
+
+    def _add(self, names: list[bytes], order, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Put ``names`` in the memo, which come in ``order`` with their ids; returns their places."""
+        held, end = self.held, int(self.begin[self.held])
+        while len(self.begin) < held + len(names) + 1:
+            self.begin, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.uses))
+        while len(self.flat) < end + len(flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[end : end + len(flat)] = flat
+        self.begin[held + 1 : held + len(names) + 1] = end + np.cumsum(sizes)
+        places = np.empty(len(names), np.int64)
+        places[order] = np.arange(held, held + len(names))
+        self.memo.update(zip(names, places.tolist(), strict=True))
+        self.held += len(names)
+        return places
+
     def _fresh(self, chunks: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """(order in which the chunks come, their ids one after another, how many each has)."""
         raise NotImplementedError
@@ -225,25 +254,14 @@ class Chunks:
         """The places in the memo of the distinct ``chunks``."""
         keys = chunks.to_pylist()
         if len(self.memo) + len(keys) > self.MEMO:
-            self.forget()
+            self.keep(self.MEMO // 2)
         memo = self.memo
-        found = np.fromiter([memo.get(k, -1) for k in keys], np.int64, len(keys))
+        found = np.fromiter(map(memo.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(found < 0)
         if len(new):
-            names = [keys[i] for i in new]
-            order, flat, sizes = self._fresh([x.decode("utf-8") for x in names])
-            held, end = self.held, int(self.begin[self.held])
-            while len(self.begin) < held + len(order) + 1:
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            while len(self.flat) < end + len(flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[end : end + len(flat)] = flat
-            self.begin[held + 1 : held + len(order) + 1] = end + np.cumsum(sizes)
-            places = np.empty(len(order), np.int64)
-            places[order] = np.arange(held, held + len(order))
-            found[new] = places
-            memo.update(zip(names, places.tolist(), strict=True))
-            self.held += len(order)
+            names = [keys[i] for i in new.tolist()]
+            found[new] = self._add(names, *self._fresh([x.decode("utf-8") for x in names]))
+        self.uses[found] += 1
         return found
 
     def chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -285,6 +303,8 @@ class Encoder(Chunks):
         self.edge = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         for x, i in vocab.items():
             self.edge[i] = x.endswith("</w>") if self.words else x.startswith("Ġ")
+        del vocab
+        give_back()  # reading the file takes several times its size
 
     def _fresh(self, chunks: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """(order in which the chunks come, their ids one after another, how many each has)."""
@@ -330,18 +350,37 @@ def spread(places: np.ndarray, flat: np.ndarray, begin: np.ndarray, docs: np.nda
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and worker process."""
+def encoder(path: str, memo: int = Chunks.MEMO) -> Encoder:
+    """One encoder for each file and worker process, with room for ``memo`` chunks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].MEMO = memo
     return _ENCODERS[path]
 
 
-def forget() -> None:
-    """Free what this worker holds for encoding, and give unused memory back, before work that needs none of it."""
-    for x in _ENCODERS.values():
-        x.forget()
+def give_back() -> None:
+    """Return unused memory to the system: Python, Arrow and the C library keep what they have freed."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of GNU can be asked so
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget() -> None:
+    """Free what this worker holds for encoding, before work that needs none of it."""
+    _ENCODERS.clear()
+    give_back()
+
+
+def tidy(run):
+    """``run`` over batches, and unused memory given back at its end, as an idle worker may wait long beside others."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def vocabulary(name: str) -> str:

@@ -35,7 +35,7 @@ GAPS = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 #: Strata up to which the cutoffs are sent to all executors; more are joined by a shuffle.
 BROADCAST_STRATA = 10_000
-#: Rejected texts up to which their keys (8 bytes each) are sent to all executors.
+#: Rejected documents up to which their ids and keys (16 bytes each) are sent to all executors.
 BROADCAST_KEYS = 500_000
 
 
@@ -155,14 +155,16 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns and whole texts.
 
-    Measures are written once, without texts. The keys of rejected texts are sent to all executors up to
-    ``BROADCAST_KEYS`` of them, so that no text is shuffled; more are joined by a shuffle.
+    Null, empty and blank texts go, by the base rules; repeated rows stay or go together; a null ``doc_id`` or ``lang``
+    counts as a value. Columns of other names do not matter. Measures are written once, without texts. The ids of rejected
+    documents, with a key of text and stratum, are sent to all executors up to ``BROADCAST_KEYS`` of them, so that no text
+    is shuffled; more are joined by a shuffle. An empty table gives an empty one.
     """
     found = common.materialize(_narrow(docs), "measures")
-    gone = common.materialize(verdict(found, thresholds(found, labels)).where("not __kept").select("__key").distinct(), "rejected")
+    gone = common.materialize(verdict(found, thresholds(found, labels)).where("not __kept").select(F.col("doc_id").alias("__id"), "__key").distinct(), "rejected")
     if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.xxhash64(docs["text"], docs["lang"]) == gone["__key"], "left_anti")
+    return docs.join(gone, (F.xxhash64(docs["text"], docs["lang"]) == gone["__key"]) & docs["doc_id"].cast("long").eqNullSafe(gone["__id"]), "left_anti")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

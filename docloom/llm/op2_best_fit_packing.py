@@ -24,6 +24,8 @@ from . import common
 VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
 END = 0
+#: Chunks that a worker holds, and that it still holds after a task, as it may wait long for the next one.
+MEMO, KEPT = 200_000, 100_000
 #: Above this many rows the plan is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
@@ -33,8 +35,8 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE, end:
     """Each document's ids and ``end``, cut after every ``size`` ids; ``local`` numbers a task's pieces of one length."""
 
     def cut(batches):
-        enc, seen, task = common.encoder(common.vocabulary(vocabulary)), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
-        for batch in common.text_slices(batches):
+        enc, seen, task = common.encoder(common.vocabulary(vocabulary), MEMO), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        for batch in common.text_slices(batches, limit=2 << 20):
             flat, begin = enc.ids(batch.column(1))
             n = len(begin) - 1
             flat = np.insert(flat, begin[1:], end).astype("<u4")
@@ -56,8 +58,9 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE, end:
                 [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * size), pa.array(length), pa.array(crc), pa.array(np.full(len(doc), task), pa.int32()), pa.array(local)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "local"],
             )
+        enc.keep(KEPT)
 
-    return common.id_text(docs).mapInArrow(cut, PIECES)
+    return common.id_text(docs).mapInArrow(common.tidy(cut), PIECES)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:

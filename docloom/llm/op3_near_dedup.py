@@ -4,18 +4,10 @@
 2. Independent trees branch the classes: a node of a tree picks, by its own name, one or two of the 256 places (1.25 on
    average, the inverse of the threshold), and a class goes on to the child named by the place and its minwise token
    there. Classes that share much stay together on some path, others part quickly. Paths of ``TREES`` trees of two
-   levels are computed without communication. Classes in nodes with too many pairs across components take part in
-   ``DEEP`` other trees of four and, where that is still so, six levels: as more pairs part on a longer path, it takes
-   more trees to keep them.
-3. Every class is compared with one pivot: of the smallest members of its nodes, that which it shares most nodes with.
-   That is one pair for each class, however many nodes hold it and however large they are. Pairs whose sketches (256
-   minima of a byte) agree enough are verified on the full sets, and components are formed. From then on only members
-   outside the largest component of a node count, and once more each is compared with one pivot, a member of it.
-4. Nodes that still hold more than one component are compared exhaustively across components, those outside the node's
-   main component against all: small nodes at once, larger ones in blocks of bounded size. Nodes with more than ``PAIRS``
-   such pairs branch on first. By their sketches, each class names its most alike partner elsewhere, if there is one.
-   These pairs are verified first; classes that named a partner and are still apart are then compared exhaustively
-   with each other on their full sets, again in blocks. Rows grow with the members of nodes, never with their pairs.
+   levels are computed without communication.
+3. Nodes are compared exhaustively, without emitting pairs (see ``groups``). Classes in nodes with too many pairs across
+   components take part in ``DEEP`` other trees of four and, where that is still so, six levels: as more pairs part on a
+   longer path, it takes more trees to keep them.
 
 A pair of similarity 0.8 meets in a tree of two levels with probability about 0.73, of six with 0.48. All trees draw from
 the same 256 places; with that, it is missed by twelve trees of two levels with probability about 4e-7, and by 28 of six
@@ -29,14 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, similar
+from . import common, groups, similar
 
 WIDTH, PERCENT = 4, 80
 TREES, DEEP = 12, 28
-#: Members of a node that is compared at once, and pairs across components of one that does not branch on.
-SMALL, PAIRS = 128, 1 << 23
-#: Members of a block of a large node, and bytes of full sets in one: wider blocks repeat each member less often.
-WIDE, WIDE_BYTES = 2_048, 4 << 20
 ROUNDS = 2
 FINE = 256
 #: Least share of equal minima for a pair to be verified; one of similarity 0.8 falls short (six deviations) about once in 10^9.
@@ -66,11 +54,6 @@ def paths(sig: np.ndarray, first: int, trees: int, levels: int, percent: int = P
         yield row, path
 
 
-def _signature(column: pa.Array, kind: type = np.uint16) -> np.ndarray:
-    """The fixed-size values of a binary column, a row each."""
-    return common.raw(column)[0].view(kind).reshape(-1, FINE)
-
-
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """Per row: doc_id, n_shingles, node (name of its shingle set, null if empty), sig (for branching), fine (for comparing)."""
 
@@ -83,13 +66,13 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             sig, fine = minima.astype(np.uint16), minima.astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([similar.set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], names=["doc_id", "n_shingles", "node", "sig", "fine"])
 
-    return common.id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary, fine binary")
+    return common.id_text(docs).mapInArrow(common.tidy(run), "doc_id long, n_shingles long, node long, sig binary, fine binary")
 
 
 def _rooted(first: int, trees: int, levels: int, percent: int):
     def run(batches):
         for batch in batches:
-            sig, nodes = _signature(batch.column(1)), batch.column(0)
+            sig, nodes = groups.signature(batch.column(1)), batch.column(0)
             for row, path in paths(sig, first, trees, levels, percent):
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), nodes.take(pa.array(row))], names=["path", "node"])
 
@@ -99,7 +82,7 @@ def _rooted(first: int, trees: int, levels: int, percent: int):
 def _deeper(percent: int):
     def run(batches):
         for batch in batches:
-            sig, path = _signature(batch.column(2)), batch.column(0).to_numpy().view(np.uint64)
+            sig, path = groups.signature(batch.column(2)), batch.column(0).to_numpy().view(np.uint64)
             row, path = branch(path, sig, percent)
             again, path = branch(path, sig[row], percent)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(1).take(pa.array(row[again]))], names=["path", "node"])
@@ -107,184 +90,19 @@ def _deeper(percent: int):
     return run
 
 
-def _alike(batches):
-    """Keep (a, b) whose sketches agree enough."""
-    for batch in batches:
-        keep = pa.array((_signature(batch.column(2), np.uint8) == _signature(batch.column(3), np.uint8)).mean(axis=1) >= SKETCH, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-
-def alike(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The share of places at which each of ``rows`` (bytes) equals ``row``: eight places are added at a time."""
-    lanes = (rows == row).view(np.uint64).sum(axis=1)  # of up to 255 places each
-    wide = (lanes & _EVEN) + (lanes >> np.uint64(8) & _EVEN)
-    return (wide * _ONES >> np.uint64(48)).astype(np.float64) / rows.shape[1]
-
-
-_EVEN, _ONES = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
-
-
-class _Block:
-    """One group of members: side 0 is a whole node, 1 holds those outside the main component, 2 those that meet them."""
-
-    def __init__(self, members: pa.StructArray):
-        self.node, self.root, self.side = (members.field(x).to_numpy(zero_copy_only=False) for x in ("node", "root", "side"))
-        self.fine = _signature(members.field("fine"), np.uint8)
-        self.left, self.right = np.flatnonzero(self.side != 2), np.flatnonzero(self.side != 1)
-        self.whole = not self.side.any()
-
-    def likeness(self):
-        """For each left member (its place, likeness to each right member, 0 within a component and below ``SKETCH``)."""
-        theirs, roots = self.fine[self.right], self.root[self.right]
-        for x in self.left.tolist():
-            like = alike(theirs, self.fine[x])
-            like[(like < SKETCH) | (roots == self.root[x])] = 0
-            yield x, like
-
-
-def _groups(batches, column: str):
-    """(row, members) of the groups of a batch, one at a time."""
-    for batch in batches:
-        groups = batch.column(batch.schema.get_field_index(column))
-        for k in range(batch.num_rows):
-            yield batch.slice(k, 1), groups[k].values
-
-
-def _across(batches):
-    """For each member of a block with an alike partner in another component: the most alike one."""
-    for row, members in _groups(batches, "group"):
-        block = _Block(members)
-        best, partner = np.zeros(len(block.node)), np.full(len(block.node), -1)
-        for x, like in block.likeness():
-            if not len(like):
-                break
-            j = int(like.argmax())
-            if like[j] > best[x]:
-                best[x], partner[x] = like[j], block.right[j]
-            if not block.whole:
-                more = like > best[block.right]
-                best[block.right[more]], partner[block.right[more]] = like[more], x
-        at = np.flatnonzero(partner >= 0)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(block.node[at]), pa.array(block.node[partner[at]]), pa.array(best[at]), pa.array(np.full(len(at), row.column(0)[0].as_py()))], names=["node", "partner", "like", "main"])
-
-
-def _exactly(percent: int):
-    """Links of a block on full sets: for each left member one to each other component at most."""
-
-    def run(batches):
-        for _, members in _groups(batches, "group"):
-            block, items = _Block(members), members.field("items")
-            own = lambda i: np.frombuffer(items[int(i)].as_buffer(), np.uint64)  # noqa: E731, B023
-            a, b = [], []
-            for x, like in block.likeness():
-                done: set[int] = set()
-                for j in np.argsort(-like, kind="stable")[: np.count_nonzero(like)].tolist():
-                    y = int(block.right[j])
-                    if block.root[y] not in done and similar.linked(own(x), own(y), percent):
-                        done.add(block.root[y])
-                        a.append(min(block.node[x], block.node[y]))
-                        b.append(max(block.node[x], block.node[y]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _blocks(members: DataFrame, key: str, small: int, weight=None, limit: int = 1) -> DataFrame:
-    """Members of each ``key`` (with ``minor``) dealt to blocks of about ``small`` minor members, and ``limit`` of ``weight``, by as many of all: (key, i, j, ..., side)."""
-
-    def blocks(n, w):
-        return F.ceil(n / small) if weight is None else F.greatest(F.ceil(n / small), F.ceil(w / limit))
-
-    w = F.lit(0) if weight is None else weight
-    sizes = members.groupBy(key).agg(blocks(F.count_if("minor"), F.sum(F.when(F.col("minor"), w))).alias("mb"), blocks(F.count("*"), F.sum(w)).alias("nb"))
-    rows = members.join(common.materialize(sizes, "sizes"), key)
-    block = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-    anyone = rows.withColumn("j", block % F.col("nb")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1))).withColumn("side", F.lit(2))
-    outside = rows.where("minor").withColumn("i", block % F.col("mb")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("side", F.lit(1))
-    return anyone.unionByName(outside)
-
-
-def _grouped(members: DataFrame) -> DataFrame:
-    """(path, node, n, pivot): members of nodes with more than one class, the size of the node and its smallest class.
-
-    The sizes are written first, so that the join meets two exchanges and Spark can split a node that is large.
-    """
-    least = common.materialize(members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "nodes")
-    return members.join(least, "path")
-
-
-def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(path, node, n, root, minors, main, pivot) of the nodes with more than one component.
-
-    ``main`` is the largest of them, ``pivot`` one of its members, ``minors`` the number of members outside it.
-    """
-    named = members.select("path", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sums = named.groupBy("path", "root").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node")).alias("one"))
-    mixed = sums.groupBy("path").agg(F.count("*").alias("parts"), (F.sum("m") - F.max("m")).alias("minors"), F.max_by(F.struct("root", "one"), F.struct("m", "root")).alias("top")).where("parts > 1")
-    mixed = common.materialize(mixed.select("path", "minors", F.col("top.root").alias("main"), F.col("top.one").alias("pivot")), "nodes")
-    return named.join(mixed, "path")
-
-
-def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int, small: int = SMALL, rounds: int = ROUNDS, wide: int = WIDE, pairs: int = PAIRS) -> DataFrame:
+def roots_of(classes: DataFrame, docs: DataFrame, width: int, percent: int, trees: int, small: int = groups.SMALL, rounds: int = ROUNDS, wide: int = groups.WIDE, pairs: int = groups.PAIRS) -> DataFrame:
     """(node, root) of the components that verified links make among ``classes`` (node, rep, sig, fine)."""
-    sigs, fine = classes.select("node", "sig"), classes.select("node", "fine")
-
-    def stars(members: DataFrame) -> DataFrame:
-        """Links of members to one pivot each, that which they share most nodes with."""
-        met = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("m"))
-        pairs = met.groupBy("node").agg(F.max_by("pivot", F.struct("m", "pivot")).alias("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        pairs = common.materialize(pairs.distinct(), "stars")
-        both = pairs.join(fine.select(F.col("node").alias("a"), F.col("fine").alias("x")), "a").join(fine.select(F.col("node").alias("b"), F.col("fine").alias("y")), "b").select("a", "b", "x", "y")
-        return similar.jaccard_links(common.materialize(both.mapInArrow(_alike, "a long, b long"), "pairs"), classes, docs, width, percent)
-
-    def mixed(level: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(members of nodes with several components, roots) after those outside the main one met a pivot of it."""
-        level = common.materialize(_named(level, roots), "mixed")
-        roots = similar.extend(roots, stars(level.where("root <> main")))
-        return common.materialize(_named(level, roots), "mixed"), roots
-
-    level = common.materialize(_grouped(sigs.mapInArrow(_rooted(0, trees, 2, percent), "path long, node long").distinct()), "paths")
-    roots = common.materialize(similar.components(stars(level)), "roots")
-    level, roots = mixed(level, roots)
-    leaf = F.col("n") * F.col("minors") <= pairs
-    rest = level.where(leaf)
-    level = level.where(~leaf)
-    for k in range(rounds):
-        if level.isEmpty():
-            break
+    sigs = classes.select("node", "sig")
+
+    def deeper(level: DataFrame, k: int) -> DataFrame | None:
+        if k == rounds:
+            return None
         if k == 0:  # other trees, as it takes more of them at this depth
-            deeper = level.select("node").distinct().join(sigs, "node").select("node", "sig").mapInArrow(_rooted(trees, DEEP, 4, percent), "path long, node long").distinct()
-        else:
-            deeper = level.select("path", "node").join(sigs, "node").select("path", "node", "sig").mapInArrow(_deeper(percent), "path long, node long").distinct()
-        level, roots = mixed(common.materialize(_grouped(common.materialize(deeper, "paths")), "paths"), roots)
-        rest = rest.unionByName(level.where(leaf))
-        level = level.where(~leaf)
-
-    # what is left: nodes that hold several components, and those that had many pairs to the end
-    member = F.collect_list(F.struct("node", "root", "fine", "side")).alias("group")
-    rest = common.materialize(_named(rest.unionByName(level), roots), "rest")
-    near = rest.where(F.col("n") <= small).join(fine, "node").withColumn("side", F.lit(0)).groupBy("path").agg(F.first("main").alias("main"), member)
-    big = _blocks(rest.where(F.col("n") > small).withColumn("minor", F.col("root") != F.col("main")).select("path", "node", "root", "main", "minor"), "path", wide)
-    blocked = big.join(fine, "node").groupBy("path", "i", "j").agg(F.first("main").alias("main"), member)
-    named = near.select("main", "group").union(blocked.select("main", "group")).mapInArrow(_across, "node long, partner long, like double, main long")
-    named = common.materialize(named.groupBy("node", "main").agg(F.max_by("partner", F.struct("like", "partner")).alias("partner")), "partners")
-    asked = named.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
-    roots = similar.extend(roots, similar.jaccard_links(common.materialize(asked, "pairs"), classes, docs, width, percent))
-
-    # classes that named a partner and are still apart, on their full sets
-    apart = named.select("node", "main").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    centre = roots.select(F.col("node").alias("main"), F.col("root").alias("centre"))
-    apart = apart.join(centre, "main", "left").select(F.coalesce("centre", "main").alias("main"), "node", "root").distinct()
-    several = apart.groupBy("main").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("main")
-    apart = common.materialize(apart.join(several, "main", "left_semi").withColumn("minor", F.col("root") != F.col("main")), "apart")
-    if apart.isEmpty():
-        return roots
-    items = similar.full_sets(apart.select("node").distinct(), classes, docs, width)
-    sized = common.materialize(apart.join(items.select("node", F.octet_length("items").alias("bytes")), "node"), "sized")
-    blocks = _blocks(sized, "main", wide, F.col("bytes"), WIDE_BYTES).join(fine, "node").join(items, "node").groupBy("main", "i", "j").agg(F.collect_list(F.struct("node", "root", "fine", "items", "side")).alias("group"))
-    return similar.extend(roots, common.materialize(blocks.select("group").mapInArrow(_exactly(percent), "a long, b long"), "links"))
+            return level.select("node").distinct().join(sigs, "node").select("node", "sig").mapInArrow(_rooted(trees, DEEP, 4, percent), "path long, node long").distinct()
+        return level.join(sigs, "node").select("path", "node", "sig").mapInArrow(_deeper(percent), "path long, node long").distinct()
+
+    level = sigs.mapInArrow(_rooted(0, trees, 2, percent), "path long, node long").distinct()
+    return groups.roots_of(level, classes, docs, width, percent, SKETCH, small, wide, pairs, deeper)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
@@ -300,7 +118,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     roots = roots_of(classes, docs, width, percent, trees)
     named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = common.materialize(named.join(smallest, "root").select("node", "component_id"), "found")
+    found = common.materialize(named.join(smallest, "root").select("node", "component_id"), "found", True)
     out = profile.select("doc_id", "n_shingles", "node").join(found, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
@@ -317,7 +135,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> Data
     all executors up to ``similar.BROADCAST_IDS`` of them, else joined by a shuffle.
     """
     gone = near_duplicates(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("__gone"))
-    gone = common.materialize(gone, "gone")
+    gone = common.materialize(gone, "gone", True)
     if gone.count() <= similar.BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -109,15 +109,16 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
 
     def scan(batches):
+        common.forget()
         find = scanner(rules)
-        for batch in common.text_slices(batches):
+        for batch in common.text_slices(batches, limit=2 << 20):
             found = find.spans(batch.column(1))
             say = [[f"{rules[k].kind}:{s}:{e}" for s, k, e in x] for x in found]
             base = [",".join(y for y, (_, k, _) in zip(a, x, strict=True) if k < BASE) for a, x in zip(say, found, strict=True)]
             counts = [pa.array([sum(k == j for _, k, _ in x) for x in found], pa.int64()) for j in range(BASE)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base], pa.string()), pa.array([",".join(a) for a in say], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return common.id_text(docs).mapInArrow(scan, SCHEMA)
+    return common.id_text(docs).mapInArrow(common.tidy(scan), SCHEMA)
 
 
 def mask(text: str, spans: list[tuple[int, int, int]], sign: str = MASK) -> str:
@@ -133,13 +134,15 @@ def mask(text: str, spans: list[tuple[int, int, int]], sign: str = MASK) -> str:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The same columns with secrets masked in ``text`` and ``n_chars``, if there, recounted where a text changed.
 
-    Null texts stay null; all rows stay.
+    Null texts stay null, empty ones empty; all rows stay, repeated ones each. Other columns of any name pass through. An
+    empty table gives an empty one.
     """
     names = docs.columns
 
     def run(batches):
+        common.forget()
         find = scanner(rules)
-        for batch in common.text_slices(batches):
+        for batch in common.text_slices(batches, limit=2 << 20):
             column = batch.column(names.index("text"))
             found = find.spans(column)
             if any(found):
@@ -153,7 +156,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

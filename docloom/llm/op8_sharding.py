@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .similar import mix
 
 SHARDS = 8
 KEY = 20_240_601
@@ -21,13 +22,6 @@ ROUNDS = 6
 SCHEMA = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Permutation:
     """A permutation of 0 .. n-1, as a function of the key."""
 
@@ -35,15 +29,15 @@ class Permutation:
         self.n = n
         self.bits = max(1, -(-max(1, (n - 1).bit_length()) // 2))
         self.mask = np.uint64((1 << self.bits) - 1)
-        self.keys = _mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key))
+        self.keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key))
 
     def _rounds(self, x: np.ndarray, back: bool) -> np.ndarray:
         left, right = x >> np.uint64(self.bits), x & self.mask
         for k in self.keys[::-1] if back else self.keys:
             if back:
-                left, right = right ^ (_mix(left ^ k) & self.mask), left
+                left, right = right ^ (mix(left ^ k) & self.mask), left
             else:
-                left, right = right, left ^ (_mix(right ^ k) & self.mask)
+                left, right = right, left ^ (mix(right ^ k) & self.mask)
         return left << np.uint64(self.bits) | right
 
     def _walk(self, x: np.ndarray, back: bool) -> np.ndarray:

@@ -151,9 +151,9 @@ def signatures(hashes: np.ndarray, begin: np.ndarray, many: int = PERMUTATIONS,
 # ---------------------------------------------------------------- exact check and components
 
 
-def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(node, items) for distinct ``nodes``: their shingle sets, from the texts of the documents (``rep``) that ``classes`` names."""
-    wanted = common.materialize(nodes.join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, items) for distinct ``nodes``, and perhaps others: shingle sets of the documents (``rep``) that ``classes`` names."""
+    wanted = common.materialize(nodes.join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct(), "wanted", True)
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
@@ -162,8 +162,12 @@ def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
             found = sets(*shingles(batch.column(1), width))
             yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "items"])
 
-    items = common.id_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(make, "node long, items binary").dropDuplicates(["node"])
-    return common.materialize(items, "sets")
+    return common.id_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(common.tidy(make), "node long, items binary")
+
+
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, items) for distinct ``nodes``: their shingle sets, from the texts of the documents (``rep``) that ``classes`` names."""
+    return common.materialize(_sets_of(nodes, classes, docs, width).dropDuplicates(["node"]), "sets")
 
 
 def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -173,25 +177,31 @@ def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 
 
 def jaccard_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of distinct ``pairs`` (a, b), those whose full shingle sets are alike enough.
+    """Of distinct ``pairs`` (a, b), those whose full shingle sets are alike enough; a link may come twice.
 
-    Only texts of documents in pairs are looked at; a set moves once to each of its pairs, and Spark can split the pairs
-    of a node that has many.
+    Only texts of documents in pairs are looked at. A set moves once for each of its pairs, straight to where the pair is
+    compared: the key is the pair, so a node with many pairs makes no hot key.
     """
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    items = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), classes, docs, width)
-    both = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+    ends = common.materialize(pairs.select("a", "b", F.posexplode(F.array("a", "b")).alias("side", "node")), "ends", True)
+    many = ends.count()
+    sides = F.broadcast(ends) if many <= BROADCAST_IDS else ends
+    both = _sets_of(ends.select("node").distinct(), classes, docs, width).join(sides, "node").select("a", "b", "side", "items")
 
     def check(batches):
+        key, held = None, None
         for batch in batches:
-            for part in common.text_slices(iter([batch]), "x", 8 << 20):
-                x, y = part.column(2), part.column(3)
-                keep = [linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(part.num_rows)]
-                chosen = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(chosen), part.column(1).filter(chosen)], names=["a", "b"])
+            out: list[tuple[int, int]] = []
+            for a, b, side, items in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if side == 0:
+                    key, held = (a, b), np.frombuffer(items.as_buffer(), np.uint64)
+                elif key == (a, b) and linked(held, np.frombuffer(items.as_buffer(), np.uint64), percent):
+                    out.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return common.materialize(both.mapInArrow(check, "a long, b long"), "links")
+    met = both.repartition("a", "b").sortWithinPartitions("a", "b", "side")
+    return common.materialize(met.mapInArrow(common.tidy(check), "a long, b long"), "links")
 
 
 def _union(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -212,7 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
     which is combined before the shuffle, and a join on the node (with a broadcast table while there are few edges).
     The number of steps grows with the logarithm of the longest chain, not with its length.
     """
-    now = common.materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    now = common.materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", True)
     before = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -226,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(_sent(least, mark["n"]), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = common.materialize(small.where("u <> v").distinct(), "edges")
+        now = common.materialize(small.where("u <> v").distinct(), "edges", True)
 
 
 def extend(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -234,9 +244,9 @@ def extend(roots: DataFrame, links: DataFrame) -> DataFrame:
     known = _sent(roots, roots.count())
     a, b = (known.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
     named = links.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-    named = common.materialize(named, "named")
+    named = common.materialize(named, "named", True)
     merged = components(named.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     merged = _sent(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), merged.count())
     fresh = named.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.node", "x.root")
     every = roots.select("node", "root").union(fresh).distinct()
-    return common.materialize(every.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+    return common.materialize(every.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots", True)

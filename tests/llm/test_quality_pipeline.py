@@ -93,9 +93,68 @@ def test_pipeline(spark, tmp_path):
     assert {502, 504} <= {r.doc_id for r in got} and not {500, 501, 503} & {r.doc_id for r in got}
 
 
-def test_stages_return_documents(spark, make_docs):
-    docs = make_docs(planted(6)[:20])
-    for name, stage in corpus_pipeline.STAGES[1:3]:
-        out = stage(spark, docs, "")
-        assert out.columns == docs.columns, name
-        assert out.count() <= 20
+def hard(nasty):
+    """Rows for every stage: ``nasty``, repeated rows, a long text with near copies and secrets, and a tie."""
+    long = [f"w{i}" for i in range(4000)]
+    near = [*long[:2000], "other", *long[2001:]]
+    return [*nasty, (40, " ".join(long)), (41, " ".join(near)), (41, " ".join(near)), (42, "token = 'abcdefghijklmnop' " + " ".join(f"u{i}" for i in range(20))), (43, " ".join(long)), (None, " ".join(long))]
+
+
+@pytest.fixture
+def frame(spark):
+    """Documents with columns whose names operators use themselves."""
+
+    def make(rows):
+        full = [(i, t, "en", "s", len(t) if t is not None else None, "x", 7) for i, t in rows]
+        return spark.createDataFrame(full, T.StructType([*DOCS.fields, T.StructField("node", T.StringType()), T.StructField("__q_text", T.IntegerType())])).repartition(3)
+
+    return make
+
+
+def key(rows):
+    return sorted(((r["doc_id"], r["text"]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+
+
+@pytest.fixture
+def sf(spark, tmp_path):
+    """A folder with empty labels."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("case", ["hard", "empty"])
+def test_stages_on_hard_rows(spark, frame, nasty, sf, case):
+    rows = hard(nasty) if case == "hard" else []
+    docs = frame(rows)
+    stages = dict(corpus_pipeline.STAGES)
+    out = {}
+    for name in ("quality", "near_dedup", "secrets"):
+        out[name] = stages[name](spark, docs, sf)
+        assert out[name].schema == docs.schema, name
+    as_rows = lambda kept: sorted(kept, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+    assert key(out["quality"].collect()) == as_rows([(i, t) for i, t in rows if not features(t)["base_failed"]])
+    named = [r for r in rows if r[0] is not None]
+    gone = {b["i"] for b in brute(named, 5) if not b["k"]}
+    gone -= {b["i"] for b in brute(named, 5) if b["k"]}
+    assert key(out["near_dedup"].collect()) == as_rows([(i, t) for i, t in rows if i not in gone])
+    masked = [(i, t if t is None else mask(t, scanner().spans(corpus_pipeline.common.pa.array([t]))[0])) for i, t in rows]
+    assert key(out["secrets"].collect()) == as_rows(masked)
+    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in out["secrets"].collect())
+    pieces = stages["packing"](spark, docs, sf).collect()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter(i for i, _ in rows)
+
+
+def test_quality_drops_by_document_not_by_text_alone(spark, sf, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_KEYS", -1)  # the join by a shuffle
+    good = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, good, "en"), (2, "short", "en"), (None, "short", None), (None, good, None), (3, None, None)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.quality(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, good), (1, good)]
+
+
+def test_run_on_an_empty_table_and_on_repeated_rows(spark, sf, make_docs):
+    text = " ".join(f"w{i}" for i in range(50))
+    make_docs([(1, text), (1, text), (2, text + " more"), (3, None)], extra=True).write.parquet(f"{sf}/documents.parquet")
+    assert sorted((r.doc_id, r.piece) for r in corpus_pipeline.run(spark, sf).collect()) == [(1, 0), (1, 0)]
+    make_docs([], extra=True).write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0

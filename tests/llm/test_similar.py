@@ -9,8 +9,8 @@ import pyarrow as pa
 import pytest
 
 from docloom.llm import op3_near_dedup as near
-from docloom.llm import similar
-from docloom.llm.op5_fingerprints import edit, fingerprint, fingerprints, likeness, near_groups, near_pairs
+from docloom.llm import groups, similar
+from docloom.llm.op5_fingerprints import edit, fingerprint, fingerprints, likeness, near_groups, near_roots
 
 from .conftest import by_id
 
@@ -85,8 +85,8 @@ def test_sketches_are_compared_place_by_place():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 3, (50, near.FINE)).astype(np.uint8)
     rows[7] = rows[3]
-    assert np.allclose(near.alike(rows, rows[3]), (rows == rows[3]).mean(axis=1))
-    assert near.alike(rows, rows[3])[7] == 1
+    assert np.allclose(groups.alike(rows, rows[3]), (rows == rows[3]).mean(axis=1))
+    assert groups.alike(rows, rows[3])[7] == 1
 
 
 def test_components_of_a_long_chain(spark):
@@ -176,7 +176,6 @@ def test_near_groups_on_hard_rows(make_docs, nasty, kind):
     want = {(b["i"], b["c"]) for b in brute(named, 5)}
     assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == want
     assert len(got) == len(rows) and all(r.n_alike >= 1 for r in got)
-    assert near_pairs(make_docs(rows, extra=True)).where("a = b").count() == 0
 
 
 def test_bands_find_planted_near_copies(make_docs):
@@ -200,10 +199,10 @@ def test_rows_without_id(make_docs):
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=key) == sorted([(None, 7, False), (7, 7, True), (9, 7, False), (9, 7, False), (None, None, True), (None, None, True)], key=key)
 
 
-def test_near_pairs(make_docs):
+def test_near_roots(make_docs):
     rows = planted(3)
     docs = make_docs(rows)
-    found = similar.components(near_pairs(docs))
+    found = near_roots(docs)
     classes = near.profiles(docs, 5).join(found, "node", "left")
     got = {}
     for r in classes.collect():
