@@ -2,8 +2,12 @@
 
 Documents are dealt out by ranges of ``doc_id`` and encoded; about ``TARGET`` ids, whole documents each, make a shard.
 In a shard, rounds replace the most frequent pairs of neighbouring symbols by new symbols (nonterminals): pairs are
-counted in hashed bins, the pairs of the fullest bins are then counted exactly, and where two chosen pairs overlap the
-more frequent one wins. Pairs never cross the end of a document.
+counted in hashed bins, one pair of each of the fullest bins is then counted exactly, and where two chosen pairs overlap
+the more frequent one wins. Pairs never cross the end of a document. Rounds go on until no pair occurs ``LEAST`` times, the
+symbols of 16 bits are used up, or a round shortens the shard by less than ``GAIN``.
+
+The expansion length of each rule is stored: lengths and starts of documents come from sums over their symbols alone, and
+``Shard.ids`` decodes any stretch of a document from the symbols that cover it.
 
 A shard is one value of bytes, little-endian:
 
@@ -35,7 +39,9 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 BASE = 50_257
 TARGET = 1_500_000
-ROUNDS, RULES_A_ROUND, LEAST = 6, 1_024, 8
+RULES_A_ROUND, LEAST, GAIN = 8_192, 8, 0.005
+#: Chunks that a worker holds.
+MEMO = 1_000_000
 _BINS = 18
 HEAD = struct.Struct("<4sIIIQII")
 FILES = "shard int, block int, first_id long, last_id long, n_docs long, n_ids long, content binary"
@@ -49,17 +55,23 @@ def compress(seq: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.ndarray]
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
     fresh = base + 1
-    for _ in range(ROUNDS):
-        room = min(RULES_A_ROUND, 65_536 - fresh)
-        if room <= 0 or len(seq) < 2 * LEAST:
-            break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(16)) | seq[1:]
+    while (room := min(RULES_A_ROUND, 65_536 - fresh)) > 0 and len(seq) >= 2 * LEAST:
+        pair = seq[:-1] << np.uint32(16) | seq[1:]
         free = (seq[:-1] != base) & (seq[1:] != base)
-        hashed = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
+        hashed = ((pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BINS)).astype(np.int32)
         full = np.bincount(hashed[free], minlength=1 << _BINS)
         least = max(LEAST, int(np.partition(full, -room)[-room]))
-        where = np.flatnonzero((full >= least)[hashed] & free)
-        keys, codes, many = np.unique(pair[where], return_inverse=True, return_counts=True)
+        top = np.flatnonzero(full >= least)
+        number = np.full(1 << _BINS, -1, np.int32)
+        number[top] = np.arange(len(top))
+        codes = number[hashed]
+        where = np.flatnonzero((codes >= 0) & free)
+        codes, some = codes[where], pair[where]
+        keys = np.zeros(len(top), np.uint32)
+        keys[codes] = some  # one pair of each bin, more likely a frequent one; another in the same bin waits for a later round
+        own = keys[codes] == some
+        where, codes = where[own], codes[own]
+        many = np.bincount(codes, minlength=len(top))
         best = np.argsort(-many, kind="stable")[:room]
         best = best[many[best] >= LEAST]
         rank = np.full(len(keys), 1 << 30, np.int32)
@@ -73,12 +85,14 @@ def compress(seq: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.ndarray]
         if not len(chosen):
             break
         taken = keys[best[keep]]
-        rules.append(np.stack([taken >> np.uint64(16), taken & np.uint64(0xFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([taken >> np.uint32(16), taken & np.uint32(0xFFFF)], 1))
         seq[chosen] = fresh + name[rank_at]
         stay = np.ones(len(seq), bool)
         stay[chosen + 1] = False
         seq = seq[stay]
         fresh += int(keep.sum())
+        if len(chosen) < GAIN * len(stay):
+            break
     return seq, np.concatenate([np.zeros((0, 2), np.uint32), *rules])
 
 
@@ -105,34 +119,34 @@ def _apart(where: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[order], got[order]
 
 
-def expansions(rules: np.ndarray, base: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of every symbol one after another, and where each symbol's begin."""
-    made: list[list[int]] = []
-    first = base + 1
-    for a, b in rules.tolist():
-        made.append((made[a - first] if a >= first else [a]) + (made[b - first] if b >= first else [b]))
-    flat = np.array([x for m in made for x in m], np.uint32)
-    begin = np.concatenate([np.arange(first), first + np.concatenate([[0], np.cumsum([len(m) for m in made])])]).astype(np.int64)
-    return np.concatenate([np.append(np.arange(base), end).astype(np.uint32), flat]), begin
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The symbols up to ``base`` that ``symbols`` stand for: each pass writes out all rules by one level."""
+    out = symbols.astype(np.uint32)
+    while len(at := np.flatnonzero(out > base)):
+        two = rules[out[at] - (base + 1)]
+        out = np.repeat(out, np.where(out > base, 2, 1))
+        at = at + np.arange(len(at))
+        out[at], out[at + 1] = two[:, 0], two[:, 1]
+    return out
 
 
 def write_shard(doc_ids: list, ids: np.ndarray, begin: np.ndarray, end: int = END, base: int = BASE) -> bytes:
     """The bytes of a shard with the given documents; ``ids`` are without their end."""
     seq, rules = compress(np.insert(ids, begin[1:], base).astype(np.uint32), base)
-    size = np.ones(base + 1 + len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        size[base + 1 + k] = size[a] + size[b]
+    size = [1] * (base + 1)
+    for a, b in rules.tolist():
+        size.append(size[a] + size[b])
     at = np.concatenate([[0], np.flatnonzero(seq == base) + 1])
     return b"".join([
         HEAD.pack(b"DLRP", 1, len(doc_ids), len(rules), len(seq), base, end),
-        rules.astype("<u4").tobytes(), size[base + 1 :].astype("<u4").tobytes(),
+        rules.astype("<u4").tobytes(), np.array(size[base + 1 :], "<u4").tobytes(),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], "u1").tobytes(),
         at.astype("<u8").tobytes(), seq.astype("<u2").tobytes(),
     ])
 
 
 class Shard:
-    """Reads a shard; ``document(k)`` expands the symbols of one document alone."""
+    """Reads a shard; ``ids`` expands only the symbols that cover a stretch of one document."""
 
     def __init__(self, content: bytes):
         magic, version, docs, rules, symbols, self.base, self.end = HEAD.unpack_from(content)
@@ -152,20 +166,34 @@ class Shard:
         self.doc_ids = [None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)]
         self.at = take("<u8", docs + 1).astype(np.int64)
         self.symbols = take("<u2", symbols)
-        self._flat = None
 
-    def _table(self):
-        if self._flat is None:
-            self._flat = expansions(self.rules, self.base, self.end)
-        return self._flat
+    def lengths(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for, from the stored lengths."""
+        return np.concatenate([np.ones(self.base + 1, np.int64), self.sizes])[symbols]
+
+    def begin(self) -> np.ndarray:
+        """Where each document's ids begin among all, and their number, without decoding."""
+        return np.concatenate([[0], np.cumsum(self.lengths(self.symbols))])[self.at]
+
+    def _ended(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids == self.base, np.uint32(self.end), ids)
 
-    def document(self, k: int) -> np.ndarray:
+    def ids(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Ids ``start`` to ``stop`` of document ``k``, its end id included."""
         part = self.symbols[self.at[k] : self.at[k + 1]]
-        return common.spread(part, *self._table(), np.array([0, len(part)]))[0]
+        edges = np.concatenate([[0], np.cumsum(self.lengths(part))])
+        stop = int(edges[-1]) if stop is None else min(stop, int(edges[-1]))
+        if start >= stop:
+            return np.zeros(0, np.uint32)
+        low, high = int(np.searchsorted(edges, start, side="right")) - 1, int(np.searchsorted(edges, stop))
+        return self._ended(expand(part[low:high], self.rules, self.base))[start - edges[low] : stop - edges[low]]
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each document's begin."""
-        return common.spread(self.symbols, *self._table(), self.at)
+        size = np.concatenate([np.arange(self.base + 1), np.arange(len(self.rules)) + self.base + 1])
+        flat = expand(size, self.rules, self.base)
+        edges = np.concatenate([[0], np.cumsum(self.lengths(size))])
+        return common.spread(self.symbols, self._ended(flat), edges, self.at)
 
 
 # ---------------------------------------------------------------- files
@@ -176,7 +204,7 @@ def token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, b
     rows, _ = common.in_order(common.id_text(docs))
 
     def pack(batches):
-        enc = common.encoder(common.vocabulary(vocabulary))
+        enc = common.encoder(common.vocabulary(vocabulary), MEMO)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         count = block = shard = 0
 
@@ -189,7 +217,7 @@ def token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, b
             row = [shard, block, min(known, default=None), max(known, default=None), len(names), len(ids) + len(names), write_shard(names, ids, begin, end, base)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()], strict=True)], names=["shard", "block", "first_id", "last_id", "n_docs", "n_ids", "content"])
 
-        for batch in common.text_slices(batches, limit=2 << 20):
+        for batch in common.text_slices(batches):
             shard = batch.column(2)[0].as_py()
             ids, begin = enc.ids(batch.column(1))
             held.append((batch.column(0).to_pylist(), ids, begin))
@@ -214,7 +242,9 @@ def read_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for shard, block, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 read = Shard(content)
-                ids, begin = read.all()
+                (ids, ends), begin = read.all(), read.begin()
+                if not np.array_equal(ends, begin):
+                    raise ValueError(f"block {block} of shard {shard}: expansion lengths and ids disagree")
                 view = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B") if len(ids) else b""
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
                 n = len(crc)

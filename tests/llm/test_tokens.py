@@ -125,10 +125,21 @@ def test_shard_round_trip(docs):
     begin = np.concatenate([[0], np.cumsum([len(d) for d in docs], dtype=np.int64)]).astype(np.int64)
     shard = Shard(write_shard(list(range(len(docs))), ids, begin, end=2))
     for k, d in enumerate(docs):
-        assert shard.document(k).tolist() == [*d, 2]
-    sizes = np.ones(shard.base + 1 + len(shard.rules), np.int64)
-    sizes[shard.base + 1 :] = shard.sizes
-    assert all(sizes[shard.symbols[shard.at[k] : shard.at[k + 1]]].sum() == len(d) + 1 for k, d in enumerate(docs))
+        assert shard.ids(k).tolist() == [*d, 2]
+        assert shard.ids(k, 3, 9).tolist() == [*d, 2][3:9]
+    assert np.diff(shard.begin()).tolist() == [len(d) + 1 for d in docs]
+
+
+def test_memo_keeps_frequent_chunks(monkeypatch):
+    monkeypatch.setattr(common.Chunks, "MEMO", 40)
+    enc = common.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    for _ in range(20):
+        parts = [" ".join([rng.choice(["the", "cat", "sat"]), "".join(rng.choice("abc") for _ in range(5)), "on"]) for _ in range(9)]
+        ids, begin = enc.ids(common.pa.array(parts))
+        for k, t in enumerate(parts):
+            assert ids[begin[k] : begin[k + 1]].tolist() == BYTE.encode(t, add_special_tokens=False).ids
+    assert b" on" in enc.memo and len(enc.memo) <= 60
 
 
 def test_shard_compresses():
