@@ -2,7 +2,7 @@
 
 Candidates by cosine, their score by a scorer and shared keywords, and then, claim by claim within an answer, the best
 candidate under a penalty for nodes that the answer has cited before. The last step carries state through the claims
-of one answer, a few dozen rows; answers are independent Arrow groups.
+of one answer, a few dozen rows; a task takes many answers, one after the other, from sorted rows.
 """
 
 from __future__ import annotations
@@ -34,45 +34,70 @@ def score_candidates(claims: DataFrame, index: DataFrame, embed: Embedder = hash
     """
     scope, keys = scope or [], list(keys)
     prepare, compare = prepared(scorer)
-    ask = claims.select(*keys, "claim_no", "claim", embed(F.col("claim")).alias("embedding"), T.keywords(F.col("claim")).alias("__ck"), prepare(F.col("claim")).alias("__cp"))
+    own = [] if prepare is T.keyword_ids else [prepare]  # a scorer by the same keywords reads the same columns
+    cp, ep = ("__cp", "__ep") if own else ("__ck", "__ek")
+    ask = claims.select(*keys, "claim_no", "claim", embed(F.col("claim")).alias("embedding"), T.keyword_ids(F.col("claim")).alias("__ck"), *[f(F.col("claim")).alias(cp) for f in own])
     ask = materialize(ask.withColumn("query_id", F.monotonically_increasing_id()), "claims")
     vectors = ask.select(*scope, "query_id", "embedding")
     best = dense_rank(vectors, index, scope).where(F.col("rank") <= most) if scope else dense_topk(vectors, index, most)
     best = materialize(best.select(*scope, "query_id", "idx", F.col("rank").alias("cand_no")), "best")
-    read = index.join(best.select(*scope, "idx").distinct(), [*scope, "idx"], "left_semi").select(*scope, "idx", T.keywords(F.col("text")).alias("__ek"), prepare(F.col("text")).alias("__ep"))
+    read = index.join(best.select(*scope, "idx").distinct(), [*scope, "idx"], "left_semi").select(*scope, "idx", T.keyword_ids(F.col("text")).alias("__ek"), *[f(F.col("text")).alias(ep) for f in own])
     rows = best.join(ask.drop("embedding"), [*scope, "query_id"]).join(materialize(read, "read"), [*scope, "idx"])
-    rows = rows.withColumn("ce_score", V.sigmoid(compare(F.col("__cp"), F.col("__ep")))).withColumn("keyword_sim", T.keyword_jaccard(F.col("__ck"), F.col("__ek")))
+    rows = rows.withColumn("ce_score", V.sigmoid(compare(F.col(cp), F.col(ep)))).withColumn("keyword_sim", T.keyword_jaccard(F.col("__ck"), F.col("__ek")))
     return rows.select(*keys, "claim_no", "claim", "cand_no", "idx", "ce_score", "keyword_sim", F.round(F.col("ce_score") + F.col("keyword_sim") * C.KEYWORD_WEIGHT, 9).alias("combined"))
 
 
+def _codes(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """A row of numbers for each row, equal where the keys are."""
+    return np.stack([pd.factorize(rows[k], use_na_sentinel=False)[0] for k in keys], axis=1)
+
+
 def choose(rows: pd.DataFrame, threshold: float, alpha: float, limit: int, keys: list[str]) -> pd.DataFrame:
-    """One row for each claim of an answer, in order: its best candidate, cited if it reaches ``threshold``."""
-    cited: dict[int, int] = {}
+    """One row for each claim: its best candidate, cited if it reaches ``threshold``; rows by answer, claim and candidate."""
     number = rows["claim_no"].to_numpy()
-    order = np.lexsort((rows["cand_no"].to_numpy(), number))
-    number = number[order]
-    idx, combined, ce, keyword = (rows[c].to_numpy()[order].tolist() for c in ("idx", "combined", "ce_score", "keyword_sim"))
-    starts = np.flatnonzero(np.diff(number, prepend=number[0] - 1)).tolist()
-    name = [rows[k].iloc[0] for k in keys]
-    claim = rows["claim"].to_numpy()[order]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (np.diff(_codes(rows, keys), axis=0) != 0).any(axis=1)
+    starts = np.flatnonzero(fresh | (np.diff(number, prepend=number[:1]) != 0)).tolist()
+    fresh = fresh.tolist()
+    idx, combined, ce, keyword = (rows[c].tolist() for c in ("idx", "combined", "ce_score", "keyword_sim"))
+    cited: dict[int, int] = {}
     out = []
     for a, b in zip(starts, [*starts[1:], len(idx)], strict=True):
+        if fresh[a]:
+            cited = {}
         scores = [-1.0 if (times := cited.get(i, 0)) >= limit else c / (1 + alpha * times) for i, c in zip(idx[a:b], combined[a:b], strict=True)]
         top = max(scores)
         best = a + scores.index(top)  # of equals the first
         ok = top >= threshold
         if ok:
             cited[idx[best]] = cited.get(idx[best], 0) + 1
-        out.append((*name, number[a], claim[a], ok, round(top, 4), round(ce[best], 4), round(keyword[best], 4), idx[best] if ok else None))
-    made = pd.DataFrame(out, columns=[*keys, *(c.split()[0] for c in CITED.split(", "))])
-    return made.astype({"idx": "Int64"})
+        out.append((ok, round(top, 4), round(ce[best], 4), round(keyword[best], 4), idx[best] if ok else None))
+    made = pd.DataFrame(out, columns=[c.split()[0] for c in CITED.split(", ")][2:])
+    named = rows[[*keys, "claim_no", "claim"]].iloc[starts].reset_index(drop=True)
+    return pd.concat([named, made.astype({"idx": "Int64"})], axis=1)
 
 
 def cite(candidates: DataFrame, threshold: float = C.CITE_THRESHOLD, alpha: float = C.DIVERSITY_ALPHA, limit: int = C.HUB_LIMIT, keys=ANSWER) -> DataFrame:
     """(keys, claim_no, claim, cited, score, ce_score, keyword_sim, idx)."""
     keys = list(keys)
     schema = S.StructType([candidates.schema[k] for k in keys] + S.StructType.fromDDL(CITED).fields)
-    return candidates.groupBy(*keys).applyInPandas(lambda rows: choose(rows, threshold, alpha, limit, keys), schema)
+
+    def run(frames):
+        """Whole answers of a sorted partition; the last one of a batch goes on in the next."""
+        rest = None
+        for rows in frames:
+            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+            if rows.empty:
+                continue
+            codes = _codes(rows, keys)
+            last = max(np.flatnonzero((codes != codes[-1]).any(axis=1)), default=-1) + 1
+            if last:
+                yield choose(rows.iloc[:last], threshold, alpha, limit, keys)
+            rest = rows.iloc[last:]
+        if rest is not None and len(rest):
+            yield choose(rest, threshold, alpha, limit, keys)
+
+    return candidates.repartition(*keys).sortWithinPartitions(*keys, "claim_no", "cand_no").mapInPandas(run, schema)
 
 
 def citation(page: Column, node_id: Column) -> Column:

@@ -361,6 +361,23 @@ def test_grid_deals_one_block_of_the_index_to_many_tasks(spark, monkeypatch):
     assert "CartesianProduct" in (plan := best._jdf.queryExecution().toString()) or "BroadcastNestedLoopJoin" in plan
 
 
+def test_answers_go_on_over_batches(spark):
+    """Many answers in a task, cut anywhere by batches, are chosen as each alone."""
+    rng = np.random.default_rng(3)
+    rows = [(a, c, f"claim {c}", k, int(rng.integers(0, 4)), 0.5, 0.1, float(rng.random() + 0.3)) for a in range(30) for c in range(1, 6) for k in range(1, 4)]
+    df = spark.createDataFrame(rows, "answer_id long, claim_no int, claim string, cand_no int, idx long, ce_score double, keyword_sim double, combined double")
+    whole = {(r.answer_id, r.claim_no): (r.cited, r.score, r.idx) for r in cite.cite(df).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        assert {(r.answer_id, r.claim_no): (r.cited, r.score, r.idx) for r in cite.cite(df).collect()} == whole
+        assert len(whole) == 150
+        one = df.where("answer_id = 17")
+        assert {(r.answer_id, r.claim_no): (r.cited, r.score, r.idx) for r in cite.cite(one).collect()} == {k: v for k, v in whole.items() if k[0] == 17}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in cite.cite(df)._jdf.queryExecution().toString()  # a group for each answer cost milliseconds
+
+
 def test_hash_embedding_by_token():
     import hashlib
 
