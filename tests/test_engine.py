@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -378,6 +379,38 @@ def test_answers_go_on_over_batches(spark):
     assert "FlatMapGroupsInPandas" not in cite.cite(df)._jdf.queryExecution().toString()  # a group for each answer cost milliseconds
 
 
+def test_queries_of_a_search_are_made_and_embedded_once(spark):
+    made, embedded = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(text):
+        made.add(1)
+        return text
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        embedded.add(len(texts))
+        return pd.Series(list(plugins._Hasher().vectors(texts.tolist())), dtype=object)
+
+    documents, frags, tables = S.demo_fragments(spark)
+    g = engine.build(documents, frags.select("doc_id", "page"), frags, tables)
+    g.embed = vectors
+    asked = spark.createDataFrame([(1, 1, "how long does linseed paint last"), (1, 2, "what is not allowed")], "doc_id long, query_id long, text string")
+    assert engine.search(g, asked.withColumn("text", said("text"))).results.count() > 0
+    assert (made.value, embedded.value) == (2, 2)
+
+
+def test_sentences_keep_the_dots_of_abbreviations(spark):
+    texts = ["See i.e. The first, e.g. The second. MR. Smith saw Fig. 3 and no. Then it ended here. Xal. Begins a new one.", "one.i.e.e.g. And more of it here. prof.Dr. Who came late today.", " \n ", "short", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.s for r in df.select("i", T.sentences(F.col("text")).alias("s")).collect()}
+    assert got == {
+        0: ["See i.e. The first, e.g. The second.", "MR. Smith saw Fig. 3 and no. Then it ended here.", "Begins a new one."],
+        1: ["one.i.e.e.g. And more of it here. prof.Dr. Who came late today."],
+        2: [], 3: ["short"], 4: [],
+    }
+
+
 def test_hash_embedding_by_token():
     import hashlib
 
