@@ -536,3 +536,21 @@ def test_answer_text_highlights_and_drawing(spark):
 def test_web_lines(spark):
     pages = spark.createDataFrame([(1, "u", "<h1>Top &amp; all</h1><p>Body <b>text</b>.</p>"), (2, "u", None)], "page_id long, url string, html string")
     assert [(r.text, r.size) for r in plugins.html_lines(pages).orderBy("line_no").collect()] == [("Top & all", 16.0), ("Body text.", 10.0)]
+
+
+def test_rounding_and_similarity_as_in_sql(spark):
+    import duckdb
+
+    values = [0.5015, -0.5015, 0.0015, 1.0005, 0.12345, -0.00003, -1e-18, -0.0, 0.0, 0.0005, 2.5, None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(values)], "k int, x double")
+    for digits in (3, 4):
+        got = [r.x for r in rows.select("k", V.rounded(F.col("x"), digits).alias("x")).orderBy("k").collect()]
+        want = [duckdb.execute("SELECT round(?::DOUBLE, ?::INT)", [x, digits]).fetchone()[0] for x in values]
+        assert list(map(repr, got)) == list(map(repr, want))
+    rng = np.random.default_rng(3)
+    a = np.round(rng.normal(size=(300, 64)), 9).tolist()
+    b = (rng.integers(-3, 4, (300, 64)) / 7).astype(np.float32).tolist()
+    pairs = spark.createDataFrame([(k, *p) for k, p in enumerate([*zip(a, b, strict=True), ([0.0] * 64, b[0]), (None, b[0])])], "k int, a array<double>, b array<float>")
+    got = [r.x for r in pairs.select("k", V.fused_cosine("a", "b").alias("x")).orderBy("k").collect()]
+    want = [duckdb.execute("SELECT list_cosine_similarity(?::DOUBLE[], ?::FLOAT[]::DOUBLE[])", [x, y]).fetchone()[0] for x, y in zip(a, b, strict=True)]
+    assert got == [*want, 0.0, None]

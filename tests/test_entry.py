@@ -52,3 +52,11 @@ def test_registration():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_search_results_matches_sql_where_similarities_round(spark, tmp_path):
+    """Similarities of 0.5015, which is less than that in doubles, and of just under nothing, one of them by rounding alone."""
+    c = duckdb.connect()
+    c.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.1/documents.parquet' WHERE doc_id IN (180, 4934, 5340, 5461)")
+    c.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    compare(QUERIES["search_results"](spark, str(tmp_path)), c.execute(ORACLE["search_results"]))
